@@ -31,3 +31,21 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, base_failed,
   NOT base_failed AND {" AND ".join(tests)} AS kept FROM f
 """
+
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), {_ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), {_ALNUM}) AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k
+  FROM b, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS c FROM (SELECT DISTINCT doc_id, i, n FROM hits), unnest(range(0, n)) AS u(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS c, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.c, 0)::BIGINT AS n_hit, coalesce(items.c, 0)::BIGINT AS n_items, sha256(coalesce(items.l, '')) AS items_sha256,
+  coalesce(covered.c, 0) > 0 AND 20 * coalesce(covered.c, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
