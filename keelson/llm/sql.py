@@ -49,3 +49,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.c, 0)::BIGINT AS n_hi
   coalesce(covered.c, 0) > 0 AND 20 * coalesce(covered.c, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM win) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM dup, unnest(range(0, 50)) AS u(j)),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS c FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
