@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -22,12 +22,18 @@ from .session import ship
 
 #: A fixed random value for each byte.
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FOUND = "doc_id long, rid long, segments array<struct<anchor:long,seg:long,start:int,wins:int,at:int>>"
+_FOUND = "doc long, rid long, segments array<struct<anchor:long,seg:long,start:int,wins:int,at:int>>"
 
 
-def rid(doc_id: Column, text: Column) -> Column:
-    """Tells rows of one doc_id with different texts apart; equal rows have equal results."""
-    return F.xxhash64(doc_id, text)
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the two columns that stand for a row in joins.
+
+    ``doc`` is the doc_id with a value in place of null; ``rid`` tells rows of
+    one doc_id with different texts apart (equal rows have equal results).
+    """
+    doc_id = docs["doc_id"].cast("long")
+    doc = F.coalesce(doc_id, F.lit(-(2**63)))
+    return docs.select(doc_id.alias("doc_id"), doc.alias("doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"), docs["text"].cast("string").alias("text"))
 
 
 def _segments(values: np.ndarray, gram: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
@@ -65,7 +71,7 @@ def byte_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int) ->
 
 
 def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, rid and the segments of each text that has any."""
+    """doc, rid and the segments of each text that has any."""
     ship(docs.sparkSession)
     of = word_segments if unit == "words" else byte_segments
 
@@ -85,8 +91,7 @@ def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 <<
                 rows = pa.StructArray.from_arrays(fields, names=["anchor", "seg", "start", "wins", "at"])
                 picked = batch.slice(a, b - a).take(pa.array(has))
                 out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
-                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), out], names=["doc_id", "rid", "segments"])
+                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), out], names=["doc", "rid", "segments"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid(docs["doc_id"], docs["text"]).alias("rid"), F.col("text").cast("string").alias("text"))
-    return source.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _FOUND)
+    return texts(docs).select("doc", "rid", "text").mapInArrow(run, _FOUND)
 

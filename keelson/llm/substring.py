@@ -36,19 +36,15 @@ SHARD_WORDS, BLOCK_WORDS = 400_000, 2_000_000
 
 def shared_segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """One row for every segment whose anchor occurs in at least two documents."""
-    found = cut(anchors.find(docs, width, gram, "words"))
-    each = found.select("doc_id", "rid", F.inline("segments")).drop("at")
-    common = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    found = cut(anchors.find(docs.where("doc_id IS NOT NULL"), width, gram, "words"))
+    each = found.select("doc", "rid", F.inline("segments")).drop("at")
+    common = each.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     return cut(each.join(common, "anchor", "left_semi"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), anchors.rid(docs["doc_id"], docs["text"]).alias("rid"), F.col("text").cast("string").alias("text"))
-
-
 def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The words of one occurrence of every distinct segment, once for each of its units."""
-    per_text = wanted.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "seg", "lo", "a", "b", "start", "wins")).alias("wanted"))
+    per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "seg", "lo", "a", "b", "start", "wins")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +62,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 columns = [flat.field(n) for n in ("anchor", "seg", "lo", "a", "b", "wins")] + [pa.array(size, pa.int32()), text]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "lo", "a", "b", "wins", "words", "text"])
 
-    joined = texts.join(per_text, ["doc_id", "rid"], "left").where("wanted IS NOT NULL").select("text", "wanted")
+    joined = texts.join(per_text, ["doc", "rid"], "left").where("wanted IS NOT NULL").select("text", "wanted")
     return joined.mapInArrow(run, "anchor long, seg long, lo long, a int, b int, wins int, words int, text binary")
 
 
@@ -113,17 +109,17 @@ def _windows(width: int, shard_words: int):
 
 
 def repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, rid and ``spans`` (first word, end) of what windows in smaller documents cover; texts without any are absent."""
+    """doc, rid and ``spans`` (first word, end) of what windows in smaller documents cover; texts without any are absent."""
     ship(docs.sparkSession)
     each = shared_segments(docs, width, gram)
-    distinct = each.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.min(F.struct("doc_id", "rid", "start", "wins")).alias("one"))
+    distinct = each.groupBy("anchor", "seg").agg(F.min("doc").alias("lo"), F.min(F.struct("doc", "rid", "start", "wins")).alias("one"))
     wanted = block_units(distinct.select("anchor", "seg", "lo", "one.*"), ["anchor"], F.col("seg"), F.col("wins") + F.lit(width - 1), block_words)
-    units = _fetch(_texts(docs), wanted.select("*", "unit.*"), width)
+    units = _fetch(anchors.texts(docs), wanted.select("*", "unit.*"), width)
     sharded = units.repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
     least = sharded.mapInArrow(_windows(width, shard_words), "anchor long, seg long, off int, many int, least long")
-    hit = each.join(least, ["anchor", "seg"]).where("least < doc_id")
+    hit = each.join(least, ["anchor", "seg"]).where("least < doc")
     first = F.col("start") + F.col("off")
-    return hit.select("doc_id", "rid", F.struct(first.alias("first"), (first + F.col("many") + F.lit(width - 1)).cast("int").alias("stop")).alias("span")).groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"))
+    return hit.select("doc", "rid", F.struct(first.alias("first"), (first + F.col("many") + F.lit(width - 1)).cast("int").alias("stop")).alias("span")).groupBy("doc", "rid").agg(F.collect_list("span").alias("spans"))
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -131,7 +127,7 @@ _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``, the words joined by one space) of every row of ``docs``."""
-    joined = _texts(docs).join(repeats(docs, width, gram), ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
+    joined = anchors.texts(docs).join(repeats(docs, width, gram), ["doc", "rid"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
