@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, rules, sql, substring
+from . import bpe, decontaminate, neardup, rules, sql, substring, suffixsort
 from .session import table
 
 
@@ -18,12 +18,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixsort.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("doc", "rid")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
 
@@ -41,5 +51,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": sql.SUBSTRING_DEDUP,
         "op4_decontamination": sql.DECONTAMINATION,
+        "op8_minhash_near_dedup": sql.NEAR_DEDUP,
         "op9_quality_rules": sql.quality_rules(),
     }
