@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, rules, sql, substring, suffixsort
+from . import bpe, decontaminate, neardup, rules, sql, substring, suffixsort, warc
 from .session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"))))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": sql.WARC,
         "op3_substring_dedup": sql.SUBSTRING_DEDUP,
         "op4_decontamination": sql.DECONTAMINATION,
         "op8_minhash_near_dedup": sql.NEAR_DEDUP,
