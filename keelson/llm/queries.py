@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, rules, sql, substring, suffixsort, warc
+from . import bpe, chat, decontaminate, neardup, rules, sql, substring, suffixsort, warc
 from .session import table
 
 
@@ -26,6 +26,16 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixsort.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = chat.digest(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return found.drop("n_tokens", "n_loss_tokens")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
@@ -57,6 +68,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": sql.WARC,
         "op3_substring_dedup": sql.SUBSTRING_DEDUP,
         "op4_decontamination": sql.DECONTAMINATION,
+        "op6_chat_formatting": sql.chat_formatting(),
         "op8_minhash_near_dedup": sql.NEAR_DEDUP,
         "op9_quality_rules": sql.quality_rules(),
     }

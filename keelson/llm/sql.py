@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import chat, rules
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -80,3 +80,17 @@ f AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h, min(page_id) OVER (P
 SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f
 """
+
+
+def chat_formatting() -> str:
+    grown = f"len(regexp_extract_all({{0}}, '{chat.CONTROL_PATTERN}')) + length({{0}})"
+    marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({marks} + {grown.format("role")} + {grown.format("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
