@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, neardup, rules, sql, substring, suffixsort, warc
+from . import bpe, chat, decontaminate, neardup, rules, sql, substring, suffixsort, urls, warc
 from .session import table
 
 
@@ -50,6 +50,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_url_filters": op10_url_filters,
     }
 
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": sql.chat_formatting(),
         "op8_minhash_near_dedup": sql.NEAR_DEDUP,
         "op9_quality_rules": sql.quality_rules(),
+        "op10_url_filters": sql.url_filters(),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, rules
+from . import chat, rules, urls
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -94,3 +94,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum({marks} + {grown.format("role")} + {grown.format("text")})::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def url_filters() -> str:
+    """Rules, seeds, the host graph and every round of the walk, one CTE each."""
+    cases = "".join(
+        f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in sorted(urls.RULES, key=lambda r: (-len(r.text), r.text))
+    )
+    verdicts = "".join(f" WHEN '{r.text}' THEN '{r.verdict}'" for r in urls.RULES)
+    host = r"translate(regexp_extract({}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    href = r"""(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+|//[^"''\s>]+)"""
+    d = urls.DAMPING
+    rounds = "".join(
+        f""",
+r{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+  SELECT r.kind, s.dst AS host, r.score * s.p * {d} AS score FROM r{k} r JOIN step s ON s.kind = r.kind AND s.src = r.host
+  UNION ALL SELECT kind, host, score * {1 - d} FROM r0) GROUP BY ALL)"""
+        for k in range(urls.ROUNDS)
+    )
+    return rf"""
+WITH u AS (SELECT page_id, html, coalesce({host.format("url")}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+v AS (SELECT *, CASE rule{verdicts} END AS ruled FROM (SELECT *, CASE{cases} END AS rule FROM u)),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS allow, count(*) FILTER (ruled = 'block') AS block FROM v WHERE host <> '' GROUP BY host),
+seeds AS (SELECT 'trust' AS kind, host, allow AS mass FROM h WHERE block = 0 AND allow > 0 UNION ALL SELECT 'distrust', host, block FROM h WHERE block = n),
+r0 AS (SELECT kind, host, mass / sum(mass) OVER (PARTITION BY kind) AS score FROM seeds),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS href FROM u),
+ends AS (SELECT src, {host.format("CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END")} AS dst FROM hrefs),
+e AS (SELECT src, dst, count(*) AS weight FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+both_ways AS (SELECT 'trust' AS kind, src, dst, weight FROM e UNION ALL SELECT 'distrust', dst, src, weight FROM e),
+step AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS p FROM both_ways){rounds},
+last AS (SELECT * FROM r{urls.ROUNDS} WHERE EXISTS (FROM step) UNION ALL SELECT * FROM r0 WHERE NOT EXISTS (FROM step)),
+s AS (SELECT host, sum(CASE kind WHEN 'trust' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS distrust FROM last GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > {urls.THRESHOLD} / greatest((SELECT count(*) FROM h), 1) AND distrust > trust THEN 'block' END, 'allow') AS verdict
+FROM v LEFT JOIN s USING (host)
+"""
