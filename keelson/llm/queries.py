@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, neardup, rules, sql, substring, suffixsort, urls, warc
+from . import bpe, chat, decontaminate, neardup, rules, secret_scan, sql, substring, suffixsort, urls, warc
 from .session import table
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.read(spark, warc.archive(table(spark, sf_dir, "pages"))))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_secret_scans": op2_secret_scans,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
