@@ -25,20 +25,21 @@ from pyspark.sql import functions as F
 from .session import ship
 
 #: Distinct pieces whose ids a worker keeps, and the longest such piece in characters.
-CACHED_PIECES, CACHED_LENGTH = 100_000, 64
+CACHED_PIECES, CACHED_LENGTH = 400_000, 64
 _NONE = 1 << 62
 
 
 class _Pieces(dict):
-    """Ids by piece; makes the ids of a missing one, and starts anew when full."""
+    """Ids by piece. When full, its pieces become the old ones; an old piece that comes again is young again."""
 
     def __init__(self, merge):
-        self.merge = merge
+        self.merge, self.old = merge, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.merge(piece.encode())
+        ids = self.old.get(piece) or self.merge(piece.encode())
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= CACHED_PIECES // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
