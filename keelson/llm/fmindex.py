@@ -79,7 +79,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     while True:
         key = rank * np.int64(n + int(rank.max(initial=0)) + 2)
         key[: n - h] += rank[h:] + 1
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         ordered = key[sa]
         new = np.ones(n, dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -96,9 +96,12 @@ class FMIndex:
     """The index of one shard.
 
     sample: every so many text positions keep their suffix position for ``locate``.
+    cap: prepare matching statistics up to this length.
+    values: a value of every text position; ``least`` then has the least value
+    of each class of rows that agree in ``cap`` symbols.
     """
 
-    def __init__(self, symbols: np.ndarray, sigma: int, sample: int = 16, cap: int = 0):
+    def __init__(self, symbols: np.ndarray, sigma: int, sample: int = 16, cap: int = 0, values: np.ndarray | None = None):
         self.n, self.sigma, self.step = len(symbols), sigma, sample
         sa, ranks = suffix_order(symbols)
         bwt = symbols[sa - 1]  # the symbol before position 0 is the last one, a separator
@@ -109,6 +112,8 @@ class FMIndex:
         self.marked, self.samples = BitVector(marked), sa[marked]
         if cap:
             self._cap(sa, ranks, cap)
+        if values is not None:
+            self.least = np.minimum.reduceat(values[sa], self.class_start[:-1])
 
     def _cap(self, sa: np.ndarray, ranks: list[np.ndarray], cap: int) -> None:
         """Longest common prefixes of neighbours in suffix order, up to ``cap``, for matching statistics."""
@@ -128,10 +133,10 @@ class FMIndex:
         self.lcp[1:n] = np.minimum(lcp, cap)
         self.class_of = np.cumsum(self.lcp[:n] < cap) - 1  # rows that agree in cap symbols
         self.class_start = np.append(np.flatnonzero(self.lcp[:n] < cap), n)
-        self.least = [self.lcp]
-        while (1 << len(self.least)) <= n + 1:
-            x, h = self.least[-1], 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(x[:-h], x[h:]))
+        self.range_least = [self.lcp]
+        while (1 << len(self.range_least)) <= n + 1:
+            x, h = self.range_least[-1], 1 << (len(self.range_least) - 1)
+            self.range_least.append(np.minimum(x[:-h], x[h:]))
 
     def backward(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of cP, given the rows [lo, hi) of P."""
@@ -171,8 +176,8 @@ class FMIndex:
         """The smallest enclosing rows of a shorter match, and its length."""
         length = np.maximum(self.lcp[lo], self.lcp[hi])
         left, right = lo.copy(), hi.copy()
-        for k in range(len(self.least) - 1, -1, -1):
-            h, x = 1 << k, self.least[k]
+        for k in range(len(self.range_least) - 1, -1, -1):
+            h, x = 1 << k, self.range_least[k]
             # rows left - h + 1 .. left all agree with their neighbours above
             ok = left - h >= 0
             ok[ok] = x[left[ok] - h + 1] >= length[ok]

@@ -83,18 +83,16 @@ def _windows(width: int, shard_words: int):
             symbols = np.zeros(n + m, dtype=np.int64)
             place = np.arange(n) + seq
             symbols[place] = number + 1
-            index = FMIndex(symbols, len(vocabulary) + 1, cap=width)
+            # the least document of the rows that agree in a whole window
+            owner = np.append(np.repeat(table.column("lo").to_numpy(), np.diff(first) + 1), np.iinfo(np.int64).max)[: len(symbols)]
+            index = FMIndex(symbols, len(vocabulary) + 1, cap=width, values=owner)
             starts = first[:-1] + np.arange(m)
             size, row = index.matching_statistics(symbols, starts, starts + np.diff(first))
-            # the least document of the rows that agree in a whole window
-            lo = table.column("lo").to_numpy()
-            owner = np.append(np.repeat(lo, np.diff(first) + 1), np.iinfo(np.int64).max)
-            least = np.minimum.reduceat(owner[index.locate(np.arange(index.n))], index.class_start[:-1])
             wins = table.column("wins").to_numpy().astype(np.int64)
             which = np.repeat(np.arange(m), wins)
             off = np.arange(len(which)) - np.repeat(np.cumsum(wins) - wins, wins)
             at = first[which] + off
-            low = np.where(size[at] >= width, least[index.class_of[row[at]]], np.iinfo(np.int64).max)
+            low = np.where(size[at] >= width, index.least[index.class_of[row[at]]], np.iinfo(np.int64).max)
             new = np.ones(len(which), dtype=bool)
             new[1:] = (which[1:] != which[:-1]) | (low[1:] != low[:-1])
             i = np.flatnonzero(new)
