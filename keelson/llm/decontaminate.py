@@ -30,7 +30,7 @@ from .fmindex import FMIndex
 from .session import ship
 
 WINDOW = 13
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 SLICE_BYTES = 2 << 20
 
 
@@ -52,21 +52,21 @@ class Phrases:
         data = tk.LOWER[data]
         ws, we, first = tk.word_spans(data, offsets, tk.ALNUM)
         vocabulary, number = np.unique(tk.hash_words(data, ws, we), return_inverse=True)
-        found: dict[tuple[int, ...], list[int]] = {}
-        for i in range(len(rows)):
+        found: dict[tuple[int, ...], dict[int, None]] = {}
+        number_of = {name: i for i, name in enumerate(dict.fromkeys(n for n, _ in rows))}  # rows of one id are one item
+        for i, (name, _) in enumerate(rows):
+            item = number_of[name]
             words = (number[first[i] : first[i + 1]] + 1).tolist()
             size = min(width, len(words))
             for k in range(len(words) - size + 1 if size else 0):
-                owners = found.setdefault(tuple(words[k : k + size]), [])
-                if not owners or owners[-1] != i:
-                    owners.append(i)
+                found.setdefault(tuple(words[k : k + size]), {})[item] = None
         windows = np.zeros((len(found), width), dtype=np.int32)
         for i, w in enumerate(found):
             windows[i, width - len(w) :] = w
         owners = list(found.values())
         bounds = np.cumsum([0, *map(len, owners)])
         flat = np.array([x for o in owners for x in o], dtype=np.int64)
-        return cls(vocabulary, windows, np.array([len(w) for w in found], dtype=np.int64), bounds, flat, [n for n, _ in rows])
+        return cls(vocabulary, windows, np.array([len(w) for w in found], dtype=np.int64), bounds, flat, list(number_of))
 
 
 def blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[Phrases]:
