@@ -25,7 +25,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 CONTEXT = 48
 TRAINING_ROWS, TREES, DEPTH, SEED = 8000, 15, 6, 7
 THRESHOLD = 0.5
@@ -92,7 +92,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
     prose = F.concat_ws(" ", word(1), word(2), word(3))
     cat = F.concat
     lit = F.lit
-    name = pick(4, ("token", "api_key", "secret", "password", "auth_token", "access_key", "apiKey", "client_secret"))
+    name = pick(4, ("token", "api_key", "secret", "password", "auth_token", "access_key", "apiKey", "client_secret", "GITHUB_TOKEN", "AWS_SECRET_ACCESS_KEY"))
     sep = pick(5, (" = ", "=", ": ", ":"))
     quote = pick(6, ('"', "'", '"', ""))
     src, fixture = ("src/app.py", "config/settings.yml", "deploy/env", "lib/client.js", "src0", ""), ("tests/fixtures/a.json", "test/unit.py", "examples/demo.py", "spec/mock.rb")
@@ -121,6 +121,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         (cat(plain, lit('integrity="sha512-')), b64(50, 64), lit('"'), src, 0),
         (key, hexes(52, 40), quote, fixture, 0),
         (key, b64(53, 32), quote, fixture, 0),
+        (plain, cat(F.upper(word(58)), lit("_"), F.upper(word(59)), lit("_"), F.upper(word(60)), lit("_"), pick(61, ("KEY", "TOKEN", "NAME", "PATH")), pick(62, ("=", ""))), hexes(63, 6), src, 0),
         (plain, F.translate(hexes(55, 22), "0123456789abcdef", "thernaoistledhnu"), lit(" "), src, 0),
         (key, F.translate(hexes(56, 22), "0123456789abcdef", "thernaoistledhnu"), quote, src, 0),
     ]
@@ -233,7 +234,8 @@ def found(text: Column, path: Column, forest: Forest) -> Column:
         # the text is parts[0] hits[0] parts[1] hits[1] ... parts[n]
         def one(hit: Column, i: Column) -> Column:
             before = F.get(parts, i)
-            return F.struct(F.length(before).alias("gap"), hit.alias("candidate"), scored(hit, F.right(before, F.lit(CONTEXT)), F.left(F.get(parts, i + 1), F.lit(CONTEXT))).alias("score"))
+            left = F.concat(F.coalesce(F.get(hits, i - 1), F.lit("")), before)
+            return F.struct(F.length(before).alias("gap"), hit.alias("candidate"), scored(hit, F.right(left, F.lit(CONTEXT)), F.left(F.get(parts, i + 1), F.lit(CONTEXT))).alias("score"))
 
         return F.transform(hits, one)
 
