@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
-DAMPING, ROUNDS, THRESHOLD, CHECKPOINT_EVERY = 0.85, 12, 2.0, 4
+DAMPING, ROUNDS, THRESHOLD, CHECKPOINT_EVERY = 0.85, 12, 0.5, 4
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
