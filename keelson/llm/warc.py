@@ -12,7 +12,8 @@ are inflated first, and a record that fails a filter, or whose payload isn't
 asked for (option ``payload=false``), is stepped over.
 
 Defined results: a null payload is empty; a record without payload has a
-zero-length one; header values are kept on one line (CR and LF are escaped).
+zero-length one; header values are kept on one line (CR and LF are
+percent-encoded, and stay so when read).
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class Files:
 
 
 def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def member(record: bytes) -> bytes:
@@ -202,8 +203,6 @@ class Stream:
 
 def _value(headers: dict[str, str], column: str):
     v = headers.get(_FIELDS[column])
-    if v is not None and "%0" in v:
-        v = v.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     return int(v) if v is not None and column == "payload_length" else v
 
 
