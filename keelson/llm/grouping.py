@@ -14,9 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def apart(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """``rows`` aggregated by ``keys``, for a join by the same keys.
+
+    An extra column that follows from the keys takes part in the grouping, so
+    the result isn't already dealt by the keys: the join gets an exchange on
+    either side, and a hot key's partition can be split.
+    """
+    return rows.groupBy(*keys, F.pmod(F.xxhash64(*keys), F.lit(1024)).alias("_apart")).agg(*aggs).drop("_apart")
+
+
 def block_units(rows: DataFrame, keys: list[str], member: Column, cost: Column, most: int) -> DataFrame:
     """``rows`` with ``unit`` (struct of two block numbers), once for every unit a row belongs to."""
-    sums = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum(cost) / F.lit(most))).cast("int").alias("_blocks"))
+    sums = apart(rows, keys, F.greatest(F.lit(1), F.ceil(F.sum(cost) / F.lit(most))).cast("int").alias("_blocks"))
     own = F.pmod(member, F.col("_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
     pairs = F.transform(others, lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import anchors
 from . import textkernel as tk
 from .fmindex import FMIndex
-from .grouping import batches_of_groups, block_units
+from .grouping import apart, batches_of_groups, block_units
 from .session import cut, ship
 
 WINDOW, GRAM = 50, 12
@@ -38,7 +38,7 @@ def shared_segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """One row for every segment whose anchor occurs in at least two documents."""
     found = cut(anchors.find(docs.where("doc_id IS NOT NULL"), width, gram, "words"))
     each = found.select("doc", "rid", F.inline("segments")).drop("at")
-    common = each.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
+    common = apart(each, ["anchor"], F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     return cut(each.join(common, "anchor", "left_semi"))
 
 
