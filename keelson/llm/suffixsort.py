@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from . import textkernel as tk
-from .grouping import block_units
+from .grouping import apart, block_units
 from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
@@ -273,7 +273,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes:
     ship(docs.sparkSession)
     found = cut(anchors.find(docs, width, gram, "bytes"))
     every = found.select("doc", "rid", F.inline("segments"))
-    common = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    common = apart(every, ["anchor"], F.count("*").alias("n")).where("n > 1").select("anchor")
     each = cut(every.join(common, "anchor", "left_semi"))
     distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "rid", "start", "wins", "at")).alias("one"))
     cost = F.col("wins") + F.lit(width - 1)
