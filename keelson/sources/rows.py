@@ -114,7 +114,7 @@ def jsonl(spark: SparkSession, path: str, schema: Schema, unknown: bool = False)
 
 def json_array(spark: SparkSession, path: str, schema: Schema, unknown: bool = False) -> DataFrame:
     """Files that hold one array of objects each; a syntax error fails the whole import."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
     bad = whole.where("v IS NULL OR NOT schema_of_variant(v) LIKE 'ARRAY%'").select(FILE).limit(1).collect()
     if bad:
         raise InvalidData(f"{bad[0][0]} isn't a JSON array")
