@@ -34,7 +34,7 @@ from .grouping import apart, block_units
 from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
-SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 12 << 20, 32 << 20, 8 << 20
+SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20, 8 << 20
 _HEAD = 16  # bytes of a sort key before the suffix: anchor and work unit
 
 
