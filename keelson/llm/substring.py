@@ -48,11 +48,11 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tk.text_buffer(batch.column(0))
+            data, offsets = tk.text_buffer(batch.column(1))
             for a, b in tk.slices(offsets, 1 << 20):
                 part = data[offsets[a] : offsets[b]]
                 ws, we, first = tk.word_spans(part, offsets[a : b + 1] - offsets[a], tk.NOT_SPACE)
-                rows = batch.column(1).slice(a, b - a)
+                rows = batch.column(2).slice(a, b - a)
                 flat = rows.flatten()
                 owner = np.repeat(first[:-1], rows.value_lengths().fill_null(0).to_numpy())
                 start = flat.field("start").to_numpy() + owner
@@ -62,7 +62,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 columns = [flat.field(n) for n in ("anchor", "seg", "lo", "a", "b", "wins")] + [pa.array(size, pa.int32()), text]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "lo", "a", "b", "wins", "words", "text"])
 
-    joined = texts.join(per_text, ["doc", "rid"], "left").where("wanted IS NOT NULL").select("text", "wanted")
+    joined = texts.join(per_text, ["doc", "rid"], "left").where("wanted IS NOT NULL").select("doc_id", "text", "wanted")  # the columns of the last join too: one exchange of the texts serves both
     return joined.mapInArrow(run, "anchor long, seg long, lo long, a int, b int, wins int, words int, text binary")
 
 
@@ -112,7 +112,7 @@ def repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, shard_words:
     each = shared_segments(docs, width, gram)
     distinct = each.groupBy("anchor", "seg").agg(F.min("doc").alias("lo"), F.min(F.struct("doc", "rid", "start", "wins")).alias("one"))
     wanted = block_units(distinct.select("anchor", "seg", "lo", "one.*"), ["anchor"], F.col("seg"), F.col("wins") + F.lit(width - 1), block_words)
-    units = _fetch(anchors.texts(docs), wanted.select("*", "unit.*"), width)
+    units = _fetch(anchors.texts(docs), wanted.select("*", "unit.a", "unit.b"), width)
     sharded = units.repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
     least = sharded.mapInArrow(_windows(width, shard_words), "anchor long, seg long, off int, many int, least long")
     hit = each.join(least, ["anchor", "seg"]).where("least < doc")
