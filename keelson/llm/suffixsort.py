@@ -35,6 +35,8 @@ from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
 SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20, 8 << 20
+#: More shards than this would only cut the runs of a task into crumbs; beyond it shards grow.
+MOST_SHARDS = 100_000
 _HEAD = 16  # bytes of a sort key before the suffix: anchor and work unit
 
 
@@ -152,8 +154,8 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
         size = 0
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(0)[k].as_py().encode()
-                for x in batch.column(1)[k].as_py():
+                text = batch.column(1)[k].as_py().encode()
+                for x in batch.column(2)[k].as_py():
                     anchor, start, at = x["anchor"], x["start"], x["at"]
                     head = anchor.to_bytes(8, "big", signed=True) + x["a"].to_bytes(4, "big") + x["b"].to_bytes(4, "big")
                     if (head, x["seg"]) in seen:  # equal rows give equal segments
@@ -170,7 +172,7 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
                     seen.clear()
         yield from emit(held)
 
-    joined = texts.join(per_text, ["doc", "rid"], "left").where("wanted IS NOT NULL").select("text", "wanted")
+    joined = texts.join(per_text, ["doc", "rid"], "left").where("wanted IS NOT NULL").select("doc_id", "text", "wanted")  # the columns of the last join too: one exchange of the texts serves both
     return joined.mapInArrow(run, _RUN)
 
 
@@ -277,9 +279,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes:
     each = cut(every.join(common, "anchor", "left_semi"))
     distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "rid", "start", "wins", "at")).alias("one"))
     cost = F.col("wins") + F.lit(width - 1)
-    wanted = cut(block_units(distinct.select("anchor", "seg", "copies", "one.*"), ["anchor"], F.col("seg"), cost, block_bytes).select("*", "unit.*").drop("unit"))
+    wanted = cut(block_units(distinct.select("anchor", "seg", "copies", "one.*"), ["anchor"], F.col("seg"), cost, block_bytes).select("*", "unit.a", "unit.b").drop("unit"))
     total = wanted.agg(F.sum(cost)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
     runs = _make_runs(anchors.texts(docs), wanted, width, shards, run_bytes)
     windows = runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(width), "anchor long, seg long, off int, many int")
     first = F.col("start") + F.col("off")
