@@ -25,12 +25,12 @@ def apart(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 
 def block_units(rows: DataFrame, keys: list[str], member: Column, cost: Column, most: int) -> DataFrame:
-    """``rows`` with ``unit`` (struct of two block numbers), once for every unit a row belongs to."""
+    """``rows`` with ``unit`` (its two block numbers, and ``own``, the row's block), once for every unit a row belongs to."""
     sums = apart(rows, keys, F.greatest(F.lit(1), F.ceil(F.sum(cost) / F.lit(most))).cast("int").alias("_blocks"))
     own = F.pmod(member, F.col("_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    pairs = F.transform(others, lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
-    single = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    pairs = F.transform(others, lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b"), own.alias("own")))
+    single = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own")))
     return rows.join(sums, keys).withColumn("unit", F.explode(F.when(F.col("_blocks") == 1, single).otherwise(pairs))).drop("_blocks")
 
 

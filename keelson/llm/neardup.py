@@ -220,9 +220,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, block_shingles: i
     once = buckets.groupBy("c", "x", "s").agg(F.min(F.struct("band", "key")).alias("one")).select("one.*")
     members = cut(banded.join(once, ["band", "key"]))
     units = block_units(members, ["band", "key"], member, F.col("n"), block_shingles)
-    units = units.select("cls", "n", "band", "key", F.col("unit.a").alias("a"), F.col("unit.b").alias("b"))
-    blocks = members.groupBy("band", "key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
-    units = units.join(blocks, ["band", "key"]).withColumn("own", F.pmod(member, F.col("blocks")).cast("int")).drop("blocks")
+    units = units.select("cls", "n", "band", "key", "unit.*")
     reps = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "doc", "rid", "bands")
     sets = _sets(anchors.texts(docs), reps, words)
     dealt = units.join(sets, "cls").select("band", "key", "a", "b", "own", "n", "node", "bands", "set")
