@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,7 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, unless PYTHONPATH already does that."""
+    """Make this package importable on executors, unless PYTHONPATH already does that.
+
+    Arrow batches are bounded to 8 MB, unless the session sets another size: a
+    batch of long texts would otherwise take 64 MB several times over.
+    """
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     sc = spark.sparkContext
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(_ROOT) in paths or sc.applicationId in _shipped:
