@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ship
+from .textkernel import lists
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-PIECE_CHARS = 200_000
+PIECE_CHARS, BATCH_CHARS = 200_000, 500_000
 
 # Marks that chat templates in public use treat as control strings, and ours.
 CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
@@ -120,29 +121,40 @@ def format_conversations(conversations: DataFrame, path: str, piece_chars: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
 
-        def emit(conv, piece: int, turns: list[tuple[str, str]]) -> pa.RecordBatch:
+        held: list[tuple] = []
+
+        def add(conv, piece: int, turns: list[tuple[str, str]]) -> int:
             text, spans = render(turns)
             e = tok.encode(text, add_special_tokens=False)
-            at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-            mask = loss_mask(at[:, 0], at[:, 1], spans)
-            kind = pa.list_(pa.int32())
-            columns = [pa.array([conv], pa.int64()), pa.array([piece], pa.int32()), pa.array([text]), pa.array([e.ids], kind), pa.array([at[:, 0]], kind), pa.array([at[:, 1]], kind), pa.array([mask], pa.list_(pa.bool_()))]
+            at = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+            held.append((conv, piece, text, np.array(e.ids, dtype=np.int32), at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans)))
+            return len(text)
+
+        def flush() -> pa.RecordBatch:
+            conv, piece, text, *tokens = zip(*held, strict=True)
+            bounds = np.cumsum([0, *map(len, tokens[0])])
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            columns = [pa.array(conv, pa.int64()), pa.array(piece, pa.int32()), pa.array(text)] + [lists(np.concatenate(x), bounds, k) for x, k in zip(tokens, kinds, strict=True)]
+            held.clear()
             return pa.RecordBatch.from_arrays(columns, names=["conv_id", "piece", "formatted", "ids", "starts", "ends", "loss"])
 
         turns: list[tuple[str, str]] = []
-        conv, piece, size = None, 0, 0
+        conv, piece, size, chars = None, 0, 0, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                c, role, text = (batch.column(k)[i].as_py() for k in (0, 1, 2))
+            for c, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if turns and (c != conv or size > piece_chars):
-                    yield emit(conv, piece, turns)
+                    chars += add(conv, piece, turns)
                     piece = piece + 1 if c == conv else 0
                     turns, size = [], 0
+                    if chars > BATCH_CHARS:
+                        yield flush()
+                        chars = 0
                 conv = c
                 turns.append((role or "", text or ""))
                 size += len(role or "") + len(text or "")
         if turns:
-            yield emit(conv, piece, turns)
+            add(conv, piece, turns)
+            yield flush()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -169,8 +181,9 @@ def digest(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
+            conv_ids, pieces = (batch.column(k).to_pylist() for k in range(2))
             for i in range(batch.num_rows):
-                c, piece, text = (batch.column(k)[i].as_py() for k in range(3))
+                c, piece, text = conv_ids[i], pieces[i], batch.column(2)[i].as_py()
                 if piece == 0:
                     if state is not None:
                         close()
