@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, block_shingles: i
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, its least doc_id; equal rows count once."""
     names = docs.columns
-    verdict = near_duplicates(docs, words, percent).where("kept").select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid")).distinct()
+    verdict = near_duplicates(docs, words, percent).where("kept").select(F.col("doc").alias("_keelson_doc"), F.col("rid").alias("_keelson_rid")).distinct()
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    keyed = docs.withColumns({"_doc": doc, "_rid": F.xxhash64(docs["doc_id"], docs["text"])})
-    return keyed.join(verdict, ["_doc", "_rid"], "left_semi").dropDuplicates(["_doc", "_rid"]).select(*names)
+    keyed = docs.withColumns({"_keelson_doc": doc, "_keelson_rid": F.xxhash64(docs["doc_id"], docs["text"])})
+    return keyed.join(verdict, ["_keelson_doc", "_keelson_rid"], "left_semi").dropDuplicates(["_keelson_doc", "_keelson_rid"]).select(*names)
