@@ -68,6 +68,27 @@ def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).distinct().agg(F.count("*").alias("n"))
 
 
+def dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, token): dense tokens of the distinct values in byte order; null, if there is one, comes first."""
+    from ..plans.shared import materialised
+    from .versioned import dense_ids
+
+    values = materialised(df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()))
+    return dense_ids(values, 0, "token")
+
+
+def bitmap_hits(df: DataFrame, predicates: list, row_id: str = ROW_ID) -> DataFrame:
+    """The number of rows in all predicates, by bitmaps of their row ids in buckets of a fixed size."""
+    parts = [
+        df.where(p).groupBy(F.bitmap_bucket_number(row_id).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row_id)).alias("bits")).withColumn("part", F.lit(i)) for i, p in enumerate(predicates)
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    both = every.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("parts")).where(F.col("parts") == len(predicates))
+    return both.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("hits"))
+
+
 def cardinalities(df: DataFrame, schema: Schema) -> DataFrame:
     """One row (column, cardinality) per column: distinct values, plus one for a nullable column."""
     counted = df.agg(*[F.count_distinct(F.col(f"`{c.name}`")).alias(c.name) for c in schema.columns])

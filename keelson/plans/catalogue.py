@@ -231,6 +231,39 @@ def distinct_keys(spark, sf_dir):
     return indexes.distinct_keys(view(spark, sf_dir, "lineitem")[0], ["l_partkey", "l_suppkey"])
 
 
+@register("SELECT k AS o_orderpriority, row_number() OVER (ORDER BY k) - 1 AS token, n FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1)")
+def dictionary_encode(spark, sf_dir):
+    """Dense tokens of a column's distinct values in byte order, joined back to every row."""
+    orders, _ = view(spark, sf_dir, "orders")
+    tokens = indexes.dictionary(orders, "o_orderpriority")
+    return orders.join(tokens, "o_orderpriority").groupBy("o_orderpriority", "token").agg(F.count("*").alias("n"))
+
+
+@register("SELECT count(*) AS hits FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 500")
+def bitmap_conjunction(spark, sf_dir):
+    """Row-id bitmaps of three predicates, and-ed bucket by bucket."""
+    orders, _ = view(spark, sf_dir, "orders")
+    predicates = [F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey") < 500]
+    return indexes.bitmap_hits(orders, predicates)
+
+
+@register("SELECT o_orderkey AS _row_id, o_orderstatus FROM orders WHERE o_orderkey % 97 = 0 ORDER BY 1")
+def ordered_scan(spark, sf_dir):
+    orders, _ = view(spark, sf_dir, "orders")
+    return orders.where(F.col(ROW_ID) % 97 == 0).select(ROW_ID, "o_orderstatus").orderBy(ROW_ID)
+
+
+@register("SELECT DISTINCT l_suppkey FROM lineitem ORDER BY 1")
+def distinct_sorted_values(spark, sf_dir):
+    return view(spark, sf_dir, "lineitem")[0].select("l_suppkey").distinct().orderBy("l_suppkey")
+
+
+@register("SELECT count(*) AS hits FROM orders WHERE o_custkey BETWEEN 20 AND 120")
+def scan_count(spark, sf_dir):
+    """The un-indexed count that other routes are held against."""
+    return view(spark, sf_dir, "orders")[0].where("o_custkey >= 20 AND o_custkey <= 120").agg(F.count("*").alias("hits"))
+
+
 # -- versions: customers split into a base and two delta layers
 
 
@@ -276,6 +309,15 @@ def update_patch(spark, sf_dir):
     return mutation.patched(df, tx.updates, schema)
 
 
+@register(f"SELECT count(*) AS hits FROM ({_VISIBLE}) WHERE c_mktsegment = 'building'")
+def hits_minus_hidden(spark, sf_dir):
+    """Hits of every layer, less the matches that a newer version or a tombstone hides."""
+    layers, visibility = _layers(spark, sf_dir)
+    rows = versioned.layered(layers).where(F.col("c_mktsegment") == "building")
+    hidden = rows.join(visibility, ROW_ID).where(f"{versioned.TARGET} != {versioned.LAYER}")
+    return rows.select(F.lit(1).alias("n")).unionByName(hidden.select(F.lit(-1).alias("n"))).agg(F.sum("n").alias("hits"))
+
+
 def _customers(spark, sf_dir) -> Catalog:
     """The customers as a dataset on disk."""
     catalog = Catalog(spark, scratch(spark, "customers"))

@@ -110,6 +110,7 @@ class Service:
             ("POST", "/v1/admin/recover", "admin", lambda b: {"generation": self._catalog(b).recover()}), ("POST", "/v1/admin/rollback", "admin", lambda b: self._catalog(b).rollback(b["generation"])), ("POST", "/v1/admin/verify", "admin", lambda b: self._catalog(b).verify()),
             ("POST", "/v1/admin/index/add", "admin", lambda b: {"generation": indexes.add(self._catalog(b), b["columns"])}), ("POST", "/v1/admin/index/drop", "admin", lambda b: {"generation": indexes.drop(self._catalog(b), b["columns"])}),
             ("POST", "/v1/admin/index/rebuild", "admin", lambda b: {"generation": indexes.rebuild(self._catalog(b), b["columns"])}), ("POST", "/v1/admin/imports", "admin", self._job_create),
+            ("POST", "/v1/admin/import/csv", "admin", self._import_csv), ("POST", "/mcp", None, None),
         ]
         self.routes: dict[tuple[str, str], tuple[str | None, Callable[[dict], dict | None]]] = {(m, p): (role, f) for m, p, role, f in routes}
 
@@ -147,6 +148,8 @@ class Service:
         if found is None:
             raise Refused(404, f"no route {method} {path}")
         role, f = found
+        if f is None:
+            return self._rpc(headers, json.loads(body))
         if role is not None:
             self._allow(headers, role)
         return f(json.loads(body) if body else options)
@@ -224,6 +227,49 @@ class Service:
     def _transfer(self, b: dict) -> dict:
         return asdict(self.buckets.transfer(b["source"], b["target"], b["row_ids"], b.get("move", False)))
 
+    def _import_csv(self, b: dict) -> dict:
+        """A whole small CSV in one request; a populated bucket is refused."""
+        self.uploads.mkdir(parents=True, exist_ok=True)
+        path = self.uploads / f"{secrets.token_hex(16)}.csv"
+        path.write_text(b["csv"])
+        try:
+            return asdict(imports.import_csv(self._catalog(b), f"file://{os.path.abspath(path)}", Schema.from_json(b["schema"]), b.get("indexes"), initial=True))
+        finally:
+            path.unlink()
+
+    # -- tools by JSON-RPC
+
+    def _tools(self) -> dict[str, tuple[str, str]]:
+        """Tool names (the last parts of a path) and their routes."""
+        skip = ("/v1/admin/imports", "/mcp")
+        return {p.split("/v1/", 1)[1].replace("admin/", "").replace("/", "_"): (m, p) for m, p in self.routes if p.startswith("/v1/") and p not in skip}
+
+    def _rpc(self, headers: dict[str, str], call: dict) -> dict:
+        """initialize, tools/list (what the caller's role may use) and tools/call."""
+        reply = {"jsonrpc": "2.0", "id": call.get("id")}
+        method, params = call.get("method"), call.get("params") or {}
+        if method == "initialize":
+            self._allow(headers, "read")
+            return reply | {"result": {"protocolVersion": params.get("protocolVersion", "2025-06-18"), "capabilities": {"tools": {}}, "serverInfo": {"name": "keelson", "version": "1"}}}
+        tools = self._tools()
+        if method == "tools/list":
+            self._allow(headers, "read")
+            may = []
+            for name, at in sorted(tools.items()):
+                with contextlib.suppress(Refused):
+                    self._allow(headers, self.routes[at][0] or "read", counted=False)
+                    may.append({"name": name, "description": f"{at[0]} {at[1]}", "inputSchema": {"type": "object"}})
+            return reply | {"result": {"tools": may}}
+        if method != "tools/call" or params.get("name") not in tools:
+            return reply | {"error": {"code": -32601, "message": "unknown method or tool"}}
+        role, f = self.routes[tools[params["name"]]]
+        self._allow(headers, role or "read")
+        try:
+            result, failed = f(params.get("arguments") or {}) or {"ok": True}, False
+        except (KeelsonError, Refused, KeyError, TypeError) as e:
+            result, failed = {"error": str(e)}, True
+        return reply | {"result": {"content": [{"type": "text", "text": json.dumps(result, default=str)}], "isError": failed}}
+
     # -- export links
 
     def _export(self, b: dict) -> dict:

@@ -59,9 +59,11 @@ def import_csv(catalog: Catalog, path: str, schema: Schema, accelerators: list[l
     return Report(catalog.current(), n, n, 0)
 
 
-def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part: int = 1_000_000, append: bool = False, multiline: bool = True) -> Report:
+def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part: int = 1_000_000, append: bool = False, multiline: bool = True, bytes_per_part: int | None = None) -> Report:
     """Strict CSV in parts of so many rows, published at once: the first is the base, the others delta layers.
 
+    bytes_per_part: also at most about so many bytes of the source in a part, by its average row.
+
     append: all parts become delta layers of the current generation, and ids go on from its highest.
     """
     with catalog.begin(empty=not append) as staging:
@@ -70,6 +72,8 @@ def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part:
             raise NotFound("no dataset to append to")
         raw = R.checked(R.strict_csv(catalog.spark, path, schema, multiline), schema, True)
         n, schema = _strict(raw, schema)
+        if bytes_per_part is not None:
+            rows_per_part = max(1, min(rows_per_part, n * bytes_per_part // max(1, source_bytes(catalog, path))))
         first = base.max_row_id + 1 if append else 0
         ids = R.positioned(R.stored(raw, schema, True), first, ROW_ID)
         whole = f"data/{hashlib.sha256(repr((path, n, first, catalog.generations())).encode()).hexdigest()[:32]}"
@@ -113,11 +117,15 @@ def fingerprint(catalog: Catalog, path: str, kind: str) -> str:
     return hashlib.sha256(repr((found, kind)).encode()).hexdigest()[:32]
 
 
-def preflight(catalog: Catalog, path: str, least_free: int = 256 << 20) -> None:
-    """Three times the source and a floor must be free."""
+def source_bytes(catalog: Catalog, path: str) -> int:
     fs_path = catalog.store._path(path)
     fs = fs_path.getFileSystem(catalog.spark.sparkContext._jsc.hadoopConfiguration())
-    size = sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(fs_path) or [])
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(fs_path) or [])
+
+
+def preflight(catalog: Catalog, path: str, least_free: int = 256 << 20) -> None:
+    """Three times the source and a floor must be free."""
+    size = source_bytes(catalog, path)
     if catalog.store.free_bytes() < 3 * size + least_free:
         raise ConflictError(f"importing {path} needs {3 * size + least_free} free bytes")
 

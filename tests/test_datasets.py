@@ -200,6 +200,10 @@ def test_segments(catalog, tmp_path):
     assert [r[0] for r in table(catalog)] == list(range(10)) and [x.rows for x in catalog.manifest().layers] == [2, 2, 1, 4, 1]
     assert table(catalog)[7] == (7, "e2", "2")
     assert catalog.verify()["visible_rows"] == 10
+    small = Catalog(catalog.spark, str(tmp_path / "small"))
+    imports.import_segmented(small, path, schema, bytes_per_part=os.path.getsize(path) // 5 * 2)
+    rows = [x.rows for x in small.manifest().layers]
+    assert sum(rows) == 5 and max(rows) <= 2
 
 
 def test_many_files_keep_order(spark, catalog, tmp_path):

@@ -107,6 +107,20 @@ def test_service(service):
     assert {call(service, "GET", "/v1/buckets", role="write")[0] for _ in range(3)} == {429} or service.counters["rate_limited"]
 
 
+def test_tools_and_small_import(service):
+    rpc = lambda method, role="read", **params: call(service, "POST", "/mcp", {"jsonrpc": "2.0", "id": 1, "method": method, "params": params}, role)[1]
+    assert call(service, "POST", "/v1/admin/import/csv", {"schema": json.loads(SCHEMA.to_json()), "csv": CSV})[1]["accepted_rows"] == 3
+    assert call(service, "POST", "/v1/admin/import/csv", {"schema": json.loads(SCHEMA.to_json()), "csv": CSV})[0] == 409
+    assert "tools" in rpc("initialize")["result"]["capabilities"]
+    names = [{t["name"] for t in rpc("tools/list", role)["result"]["tools"]} for role in ("read", "write", "admin")]
+    assert "query" in names[0] and "mutate" in names[1] - names[0] and "compact" in names[2] - names[1]
+    found = rpc("tools/call", name="query", arguments={"filters": [{"op": "eq", "column": "age", "value": "2"}]})["result"]
+    assert not found["isError"] and json.loads(found["content"][0]["text"])["stats"]["hits"] == 1
+    assert rpc("tools/call", name="query", arguments={"filters": [{"op": "eq", "column": "nope", "value": "2"}]})["result"]["isError"]
+    assert rpc("tools/call", name="nothing")["error"]["code"] == -32601
+    assert call(service, "POST", "/mcp", {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "compact"}}, "read")[0] == 403
+
+
 def test_http_and_exports(service):
     service.config.rate_per_minute = 10_000
     upload(service, CSV)
