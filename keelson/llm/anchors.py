@@ -70,11 +70,12 @@ def byte_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int) ->
     return *_segments(_BYTE[data], tk.byte_grams(data, k), offsets, width, k), offsets
 
 
-def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 << 20) -> DataFrame:
+def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 << 19) -> DataFrame:
     """doc, rid and the segments of each text that has any."""
     ship(docs.sparkSession)
     of = word_segments if unit == "words" else byte_segments
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(2))

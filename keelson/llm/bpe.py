@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ship
+from .textkernel import tidy
 
 #: Distinct pieces whose ids a worker keeps, and the longest such piece in characters.
 CACHED_PIECES, CACHED_LENGTH = 400_000, 64
@@ -137,6 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """``key`` and ``ids`` (array of int) of every text."""
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         for batch in batches:
@@ -153,6 +155,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     """``key`` and the ``bytes`` that each row's ids stand for (null ids: empty)."""
     ship(encoded.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         for batch in batches:
@@ -173,6 +176,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         text_of = tok.text_of.__getitem__

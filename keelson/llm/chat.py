@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ship
-from .textkernel import lists
+from .textkernel import lists, tidy
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 PIECE_CHARS, BATCH_CHARS = 200_000, 500_000
@@ -118,6 +118,7 @@ def format_conversations(conversations: DataFrame, path: str, piece_chars: int =
     """
     ship(conversations.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
 
@@ -166,6 +167,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     ship(formatted.sparkSession)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         conv, state = None, None

@@ -159,6 +159,7 @@ _SCHEMA = "doc_id long, rid long, n_words long, spans array<struct<first:int,sto
 
 
 def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(phrases.names, dtype=object)
         for batch in batches:
@@ -228,6 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_char
 
 
 def _cleaner(phrases: Phrases, at: int):
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(at))

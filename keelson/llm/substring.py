@@ -46,6 +46,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The words of one occurrence of every distinct segment, once for each of its units."""
     per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "seg", "lo", "a", "b", "start", "wins")).alias("wanted"))
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(1))
@@ -69,6 +70,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _windows(width: int, shard_words: int):
     """Matching statistics of a shard's segments in its own index: runs of windows with the least document of each."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_of_groups(batches, ["anchor", "a", "b"], "words", shard_words):
             table = table.combine_chunks()
@@ -127,6 +129,7 @@ def dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, with_text: boo
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``, the words joined by one space) of every row of ``docs``."""
     joined = anchors.texts(docs).join(repeats(docs, width, gram), ["doc", "rid"], "left").select("doc_id", "text", "spans")
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(1))

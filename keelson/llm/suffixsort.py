@@ -34,7 +34,7 @@ from .grouping import apart, block_units
 from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
-SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20, 8 << 20
+SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 8 << 20
 #: More shards than this would only cut the runs of a task into crumbs; beyond it shards grow.
 MOST_SHARDS = 100_000
 _HEAD = 16  # bytes of a sort key before the suffix: anchor and work unit
@@ -148,6 +148,7 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
             a = b
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[tuple[bytes, int]] = set()
@@ -254,6 +255,7 @@ def _merge_shards(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         seg = np.array(fields["seg"], dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(anchor[i]), pa.array(seg[i]), pa.array(off, pa.int32()), pa.array(stop - off, pa.int32())], names=["anchor", "seg", "off", "many"])
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, runs = None, []
         for batch in batches:
@@ -294,10 +296,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: boo
     joined = anchors.texts(docs).join(repeats(docs, width, gram, **sizes), ["doc", "rid"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(1))
-            for a, b in tk.slices(offsets, 4 << 20):
+            for a, b in tk.slices(offsets, 1 << 20):
                 part, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 rows = batch.column(2).slice(a, b - a)
                 flat, base = rows.flatten(), np.repeat(first[:-1], rows.value_lengths().fill_null(0).to_numpy())
