@@ -101,6 +101,7 @@ def similarity(x: np.ndarray, ys: np.ndarray, nx: int, ny: np.ndarray) -> np.nda
 def _sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
     """doc_id, doc, rid, n_shingles, cls (digest of the set) and band keys of every row."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(3))
@@ -108,7 +109,7 @@ def _sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 h, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 sizes = np.diff(bounds)
                 full = sizes > 0
-                keys = registers(h, bounds, bands * ROWS).view("<i8")
+                keys = registers(h, bounds, bands * ROWS).view("<i8")  # the registers of a band as one number
                 digests = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 at = np.concatenate([[0], np.cumsum(full * bands)])
                 columns = [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), tk.lists(keys.reshape(-1), at, pa.int64())]
@@ -121,6 +122,7 @@ def _sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
 def _sets(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """node, cls, bands and the full set of every class in ``reps``."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(0))
@@ -176,11 +178,12 @@ def _verify(percent: int, floor: float):
             out += [(int(x), least) for x in members if x != least]
         return out
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches_of_groups(batches, ["band", "key", "a", "b"], "n", BATCH_SHINGLES):
+        for table in batches_of_groups(batches, ["key", "a", "b"], "n", BATCH_SHINGLES):
             table = table.combine_chunks()
             n = table.num_rows
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "a", "b")])
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")])
             new = np.ones(n, dtype=bool)
             new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
             cuts = np.append(np.flatnonzero(new), n).tolist()
@@ -192,7 +195,7 @@ def _verify(percent: int, floor: float):
             found = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y - x > 1:
-                    cross = own[x:y] if keys[2, x] != keys[3, x] else None
+                    cross = own[x:y] if keys[1, x] != keys[2, x] else None
                     found += links(nodes[x:y], sizes[x:y], regs[x:y], sets[x:y], cross)
             pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
@@ -214,18 +217,18 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, block_shingles: i
         .agg(F.min(F.struct("doc", "rid")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .select("cls", "one.*", "n", "bands")
     )
-    banded = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
+    # a bucket is a band and its registers, hashed to one number: a collision only adds candidates
+    banded = classes.select("cls", "n", F.posexplode("bands").alias("band", "regs")).select("cls", "n", F.xxhash64("band", "regs").alias("key"))
     member = F.xxhash64("cls")
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("c"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s"), F.sum("n").alias("t")).where("c > 1")
-    once = buckets.groupBy("c", "x", "s").agg(F.min(F.struct("band", "key")).alias("one")).select("one.*")
-    members = cut(banded.join(once, ["band", "key"]))
-    units = block_units(members, ["band", "key"], member, F.col("n"), block_shingles)
-    units = units.select("cls", "n", "band", "key", "unit.*")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")).where("c > 1")
+    once = buckets.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = cut(banded.join(once, "key"))
+    units = block_units(members, ["key"], member, F.col("n"), block_shingles).select("cls", "n", "key", "unit.*")
     reps = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "doc", "rid", "bands")
     sets = _sets(anchors.texts(docs), reps, words)
-    dealt = units.join(sets, "cls").select("band", "key", "a", "b", "own", "n", "node", "bands", "set")
+    dealt = units.join(sets, "cls").select("key", "a", "b", "own", "n", "node", "bands", "set")
     floor = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * ROWS))
-    links = dealt.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b").mapInArrow(_verify(percent, floor), "u long, v long")
+    links = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify(percent, floor), "u long, v long")
     found = components(links)
     of = classes.select("cls", F.col("doc").alias("node")).join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     joined = rows.join(of, "cls", "left")
