@@ -34,7 +34,7 @@ from . import anchors
 from . import textkernel as tk
 from .components import components
 from .grouping import batches_of_groups, block_units
-from .session import cut, ship
+from .session import cut, release, ship
 
 ROWS, MISS = 4, 1e-7
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, block_shingles: i
     floor = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * ROWS))
     links = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify(percent, floor), "u long, v long")
     found = components(links)
+    del banded, buckets, once, members, units, reps, sets, dealt, links
+    release(docs.sparkSession)
     of = classes.select("cls", F.col("doc").alias("node")).join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     joined = rows.join(of, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
