@@ -8,7 +8,8 @@ wavelet matrix, all in step; occurrences are located by sampled suffix
 positions and merged into removal spans.
 
 The benchmark reaches the workers in blocks of at most ``BLOCK_CHARS``
-characters, one pass over the corpus for each block.
+characters, one pass over the corpus for each block. Every block is searched in
+the untouched texts; ``clean`` judges and cuts by the hits of all of them.
 
 Defined results: a null or empty text has no words and is clean; a benchmark
 item without words, without text or without an id has no windows; repeated rows
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import textkernel as tk
 from .fmindex import FMIndex
@@ -154,7 +156,25 @@ class Shard:
         a, b = np.flatnonzero(new), np.flatnonzero(last) + 1
         return a, b, np.searchsorted(a, self.first)
 
-
+    def column(self) -> pa.ListArray:
+        """The spans of each text, counted in its own words."""
+        first, stop, bounds = self.spans()
+        base = np.repeat(self.first[:-1], np.diff(bounds))
+        spans = pa.StructArray.from_arrays([pa.array(first - base, pa.int32()), pa.array(stop - base, pa.int32())], names=["first", "stop"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans)
+
+    def add(self, spans: pa.ListArray) -> None:
+        """Words in the spans of another block of phrases are hits too."""
+        bounds = spans.offsets.to_numpy()
+        first, stop = (x.to_numpy() for x in spans.values.slice(bounds[0], bounds[-1] - bounds[0]).flatten())
+        base = np.repeat(self.first[:-1], np.diff(bounds))
+        step = np.zeros(len(self.hit) + 1, dtype=np.int64)
+        np.add.at(step, first + base, 1)
+        np.add.at(step, stop + base, -1)
+        self.hit |= np.cumsum(step[:-1]) > 0
+
+
+_SPANS = ArrayType(StructType([StructField("first", IntegerType()), StructField("stop", IntegerType())]))
 _SCHEMA = "doc_id long, rid long, n_words long, spans array<struct<first:int,stop:int>>, items array<string>"
 
 
@@ -166,14 +186,11 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
             data, offsets = tk.text_buffer(batch.column(2))
             for a, b in tk.slices(offsets, SLICE_BYTES):
                 shard = Shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases)
-                first, stop, bounds = shard.spans()
-                base = np.repeat(shard.first[:-1], np.diff(bounds))
-                spans = pa.StructArray.from_arrays([pa.array(first - base, pa.int32()), pa.array(stop - base, pa.int32())], names=["first", "stop"])
                 columns = [
                     batch.column(0).slice(a, b - a),
                     batch.column(1).slice(a, b - a),
                     pa.array(shard.n_words, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans),
+                    shard.column(),
                     tk.lists(names[shard.item], np.searchsorted(shard.doc, np.arange(b - a + 1)), pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "n_words", "spans", "items"])
@@ -220,26 +237,50 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_char
     All columns pass through; only ``text`` can change.
     """
     ship(docs.sparkSession)
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
+    carried = "_hits"
+    while carried in docs.columns:
+        carried += "_"
+    marked = StructType([*docs.schema.fields, StructField(carried, _SPANS)])
+    every = list(blocks(benchmark, width, block_chars))
     out = docs
-    for phrases in blocks(benchmark, width, block_chars):
-        out = out.mapInArrow(_cleaner(phrases, at), docs.schema)
-    return out
+    for phrases in every[:-1]:
+        out = out.mapInArrow(_marker(phrases, at, len(docs.columns), carried), marked)
+    return out.mapInArrow(_cleaner(every[-1], at, len(docs.columns)), docs.schema)
+
+
+def _marked(batch: pa.RecordBatch, phrases: Phrases, at: int, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Shard]]:
+    """Slices of a batch of ``width`` columns with the hits of a block; a further column has the spans of earlier blocks."""
+    data, offsets = tk.text_buffer(batch.column(at))
+    for a, b in tk.slices(offsets, SLICE_BYTES):
+        part, local, rows = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.slice(a, b - a)
+        shard = Shard(part, local, phrases)
+        if batch.num_columns > width:
+            shard.add(rows.column(width))
+            rows = rows.select(list(range(width)))
+        yield rows, part, local, shard
 
 
-def _cleaner(phrases: Phrases, at: int):
+def _marker(phrases: Phrases, at: int, width: int, name: str):
+    """The rows as they are, with the spans of this block and of earlier ones in a last column."""
+
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tk.text_buffer(batch.column(at))
-            for a, b in tk.slices(offsets, SLICE_BYTES):
-                part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                shard = Shard(part, local, phrases)
+            for rows, _, _, shard in _marked(batch, phrases, at, width):
+                yield pa.RecordBatch.from_arrays([*rows.columns, shard.column()], names=[*rows.schema.names, name])
+
+    return run
+
+
+def _cleaner(phrases: Phrases, at: int, width: int):
+    @tk.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, part, local, shard in _marked(batch, phrases, at, width):
                 first, stop, bounds = shard.spans()
                 per = np.add.reduceat(np.append(shard.hit, False).astype(np.int64), shard.first[:-1]) * (shard.n_words > 0) if len(shard.hit) else shard.n_words
                 bad = (per > 0) & (20 * per >= shard.n_words)
-                rows = batch.slice(a, b - a)
                 touched = np.flatnonzero((per > 0) & ~bad)
                 if len(touched):
                     texts = rows.column(at).to_pylist()

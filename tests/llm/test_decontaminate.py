@@ -85,3 +85,41 @@ def test_clean(spark):
     assert out.columns == df.columns
     got = {r.doc_id: tuple(r) for r in out.collect()}
     assert got == {2: (2, f"{long} ! {long}", 6), 3: rows[2], 4: rows[3]}
+
+
+def brute_clean(docs, items, width):
+    windows = {tuple(w[i : i + min(width, len(w))]) for _, t in items if (w := words(t)) for i in range(len(w) - min(width, len(w)) + 1)}
+    out = []
+    for d, t in docs:
+        spans = [m.span() for m in WORD.finditer("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))]
+        w = words(t)
+        hit = {k for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+        if hit and 20 * len(hit) >= len(w):
+            continue
+        kept, last = [], 0
+        for k in sorted(hit):
+            if k - 1 not in hit:
+                kept.append(t[last : spans[k][0]])
+            last = spans[k][1]
+        out.append((d, "".join([*kept, t[last:]]) if hit else t))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [1, 40, 10**7])
+def test_clean_by_blocks(spark, block):
+    """Blocks of the benchmark are judged together, on the text as it was."""
+    rng = random.Random(5)
+    docs, items = corpus(5)
+    items = [x for x in items if len(words(x[1])) >= 3 or not words(x[1])]
+    fill = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    one, two = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    items += [(100, one), (101, two), (102, "p28 p29 z0 z1 z2 z3")]
+    docs += [(200, f"{fill(470)} {one} {fill(470)} {two}"), (201, f"{fill(900)} {one}. {fill(900)}, {two}"), (202, f"{fill(900)} {one} z0 z1 z2 z3 {fill(30)}")]
+    docs += [(300 + i, f"{fill(400)}, {rng.choice(items)[1]}; {fill(300)} {t} {fill(400)}") for i, (_, t) in enumerate(items)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_hits", F.lit(1)).repartition(3)
+    out = decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string"), 4, block)
+    assert out.columns == df.columns
+    want = brute_clean(docs, items, 4)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == want
+    kept = dict(want)
+    assert 200 not in kept and kept[201] != docs[-len(items) - 2][1] and "z" not in kept[202]
