@@ -253,6 +253,12 @@ def ordered_scan(spark, sf_dir):
     return orders.where(F.col(ROW_ID) % 97 == 0).select(ROW_ID, "o_orderstatus").orderBy(ROW_ID)
 
 
+@register("SELECT o_orderkey AS _row_id, o_orderstatus FROM orders ORDER BY 1")
+def ordered_scan_all(spark, sf_dir):
+    """Every visible row in row-id order."""
+    return view(spark, sf_dir, "orders")[0].select(ROW_ID, "o_orderstatus").orderBy(ROW_ID)
+
+
 @register("SELECT DISTINCT l_suppkey FROM lineitem ORDER BY 1")
 def distinct_sorted_values(spark, sf_dir):
     return view(spark, sf_dir, "lineitem")[0].select("l_suppkey").distinct().orderBy("l_suppkey")

@@ -48,3 +48,8 @@ def test_lifecycle_steps(spark, data):
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "_row_id"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ordered_scan_is_whole(spark, data):
+    got = [r["_row_id"] for r in entry.queries()["ordered_scan_all"](spark, data).collect()]
+    assert got == sorted(r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect())
