@@ -128,6 +128,12 @@ def filter_mixed_eq_range(spark, sf_dir):
     return Q.page(df, request, schema).withColumn("o_custkey", F.col("o_custkey").cast("bigint"))
 
 
+@register(_ORDERS + " WHERE o_orderstatus = 'F' AND o_custkey BETWEEN 10 AND 90")
+def filter_mixed_eq_range_all(spark, sf_dir):
+    """Every match, without a page's limit."""
+    return _found(spark, sf_dir, "orders", Eq("o_orderstatus", "F"), Range("o_custkey", "10", "90"))
+
+
 @register(_LINES + " WHERE l_returnflag = 'A' AND l_linestatus IN ('O', 'F') AND l_suppkey BETWEEN 5 AND 25")
 def filter_mixed_eq_in_range(spark, sf_dir):
     return _found(spark, sf_dir, "lineitem", Eq("l_returnflag", "A"), In("l_linestatus", ("F", "O")), Range("l_suppkey", "5", "25")).drop(ROW_ID)
@@ -151,6 +157,14 @@ def project_reorder(spark, sf_dir):
     return _page(spark, sf_dir, "orders", filters=(Eq("o_orderstatus", "P"),), select=("o_orderpriority", "o_custkey"), limit=50)
 
 
+@register("SELECT o_orderkey AS _row_id, o_orderpriority, o_custkey::VARCHAR AS o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def project_reorder_all(spark, sf_dir):
+    """Every match as canonical text, without a page's limit."""
+    df, schema = view(spark, sf_dir, "orders")
+    found = Q.matches(df, Request(filters=(Eq("o_orderstatus", "P"),)), schema)
+    return found.select(ROW_ID, *[canonical.text(F.col(n), schema[n]).alias(n) for n in ("o_orderpriority", "o_custkey")])
+
+
 @register(_ORDERS + " WHERE o_orderkey = 42")
 def point_get(spark, sf_dir):
     df, _ = view(spark, sf_dir, "orders")

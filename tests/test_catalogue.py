@@ -53,3 +53,12 @@ def test_entry(spark):
 def test_ordered_scan_is_whole(spark, data):
     got = [r["_row_id"] for r in entry.queries()["ordered_scan_all"](spark, data).collect()]
     assert got == sorted(r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect())
+
+
+def test_whole_filter_and_projection(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert entry.queries()["filter_mixed_eq_range_all"](spark, sf_dir).count() == orders.where("o_orderstatus = 'F' AND o_custkey BETWEEN 10 AND 90").count() > 100
+    whole = entry.queries()["project_reorder_all"](spark, sf_dir)
+    assert whole.columns == ["_row_id", "o_orderpriority", "o_custkey"]
+    assert whole.count() == orders.where("o_orderstatus = 'P'").count() > 50
