@@ -18,6 +18,7 @@ without html have no links; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
-DAMPING, ROUNDS, THRESHOLD, CHECKPOINT_EVERY = 0.85, 12, 0.5, 4
+DAMPING, ROUNDS, THRESHOLD, CHECKPOINT_EVERY = 0.85, 12, 0.5, 4  # ROUNDS: of the SQL only
+PRECISION = 1e-3  # of a score, as a part of the share that blocks a host
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,11 +76,13 @@ def links(pages: DataFrame) -> DataFrame:
     return each.select("src", host_of(target).alias("dst")).where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, error: float = 1e-6, damping: float = DAMPING) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind of seed over the edges of its kind.
 
     edges: (kind, src, dst, weight). seeds: (kind, host, mass). What reaches a
-    host without links of its own kind leaves the walk.
+    host without links of its own kind leaves the walk. The walk ends once no
+    score can be off by more than ``error``: after k rounds that is damping^k
+    at most, or less by what the last rounds have changed.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     step = cut(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("p")))
@@ -87,12 +91,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     score = start.withColumnRenamed("mass", "score")
     if step.isEmpty():
         return score
-    for k in range(rounds):
+    before, shrink = score, damping**CHECKPOINT_EVERY
+    for k in range(math.ceil(math.log(error) / math.log(damping))):
         moved = score.join(step, (score["kind"] == step["kind"]) & (score["host"] == step["src"])).select(score["kind"], F.col("dst").alias("host"), (F.col("score") * F.col("p") * F.lit(damping)).alias("score"))
         kept = start.select("kind", "host", (F.col("mass") * F.lit(1 - damping)).alias("score"))
         score = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if (k + 1) % CHECKPOINT_EVERY == 0:
             score = cut(score)
+            both = score.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("change"))
+            if (both.agg(F.sum(F.abs("change"))).first()[0] or 0.0) * shrink / (1 - shrink) <= error:
+                break
+            before = score
     return score
 
 
@@ -109,9 +118,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, trusted: tuple[str,
     bad = per_host.where((F.col("block") == F.col("n")) | F.col("host").isin(list(blocked))).select(F.lit("distrust").alias("kind"), "host", F.greatest("block", F.lit(1)).alias("mass"))
     found = cut(links(pages))
     edges = found.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(found.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    score = propagate(edges, good.unionByName(bad))
     hosts = per_host.count()
     even = 1.0 / max(hosts, 1)
+    score = propagate(edges, good.unionByName(bad), max(PRECISION * threshold * even, 1e-12))
     verdicts = score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
     distrusted = cut(verdicts.where((F.col("distrust") > threshold * even) & (F.col("distrust") > F.col("trust"))).select(F.col("host").alias("_host"), F.lit("block").alias("_by_host")))  # apart from the join, which can then split a hot host
     joined = each.join(distrusted, each["host"] == distrusted["_host"], "left")

@@ -89,3 +89,10 @@ def test_trust_flows(spark, hub):
     assert sorted((tuple(r) for r in got), key=repr) == brute(pages)
     verdict = {r.page_id: r.verdict for r in got}
     assert verdict[10] == "block" and verdict[15] == "allow" and verdict[14] == "allow"
+
+
+def test_walk_is_whole(spark):
+    """On a chain of 30 hosts the 13th link still brings 0.15 * 0.85^13 > 0.5 / 30, the 14th does not."""
+    pages = [(i, f"http://h{i}.info/", link(f"h{i - 1}.info") if i else "") for i in range(30)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), blocked=("h0.info",)).collect()
+    assert sorted(r.page_id for r in got if r.verdict == "block") == list(range(14))
