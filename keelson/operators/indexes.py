@@ -1,27 +1,33 @@
 """Accelerators, column statistics, the candidate portfolio, and logical explain reports.
 
-Parquet statistics and sorted layouts do the work of posting lists here; an
-accelerator is a column set whose rows are clustered together, so that their
-row groups can be skipped.
+An accelerator is a set of columns and a copy of the base layer that is
+range-partitioned and sorted by them. A request with an equality on each of
+the columns reads the copy, where Parquet's statistics skip nearly all files
+and row groups; layers without a copy are read as they are.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import replace
+from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, NotFound
 from ..plans.request import Request, prepare, route
 from ..schema import ROW_ID, Schema
 from ..sources.imports import check_accelerator
-from .catalog import Catalog, Dataset
+from . import versioned
+from .catalog import Catalog, Dataset, Manifest, Staging
 
 
 def add(catalog: Catalog, columns: list[str]) -> int:
-    """A new generation that also has this accelerator."""
+    """A new generation that also has this accelerator: a copy of the base layer clustered by its columns."""
     with catalog.begin() as staging:
         m = staging.base
         if m is None:
@@ -30,7 +36,7 @@ def add(catalog: Catalog, columns: list[str]) -> int:
         key = sorted(columns)
         if key in m.accelerators:
             raise ConflictError(f"accelerator {key} exists")
-        staging.publish(replace(m, accelerators=sorted([*m.accelerators, key]), source="index-add"))
+        staging.publish(replace(m, accelerators=sorted([*m.accelerators, key]), copies=m.copies | copied(staging, m, key), source="index-add"))
     return catalog.current()
 
 
@@ -40,23 +46,40 @@ def drop(catalog: Catalog, columns: list[str]) -> int:
         key = sorted(columns)
         if m is None or key not in m.accelerators:
             raise NotFound(f"accelerator {key}")
-        staging.publish(replace(m, accelerators=[a for a in m.accelerators if a != key], source="index-drop"))
+        copies = {a: of for a, of in m.copies.items() if a != "+".join(key)}
+        staging.publish(replace(m, accelerators=[a for a in m.accelerators if a != key], copies=copies, source="index-drop"))
     return catalog.current()
 
 
 def rebuild(catalog: Catalog, columns: list[str]) -> int:
+    """The accelerator's copy, written anew from the base layer."""
     with catalog.begin() as staging:
         m = staging.base
         if m is None or sorted(columns) not in m.accelerators:
             raise NotFound(f"accelerator {sorted(columns)}")
-        staging.publish(replace(m, source="index-rebuild"))
+        staging.publish(replace(m, copies=m.copies | copied(staging, m, sorted(columns)), source="index-rebuild"))
     return catalog.current()
 
 
+def copied(staging: Staging, m: Manifest, columns: list[str]) -> dict[str, dict[str, str]]:
+    """The entry of ``copies`` for an accelerator; a base without one of its columns has none."""
+    base = m.layers[0]
+    if not set(columns) <= set(Schema.from_json(base.schema).names):
+        return {}
+    return {"+".join(columns): {base.path: staging.clustered(base.path, columns)}}
+
+
 def listing(dataset: Dataset) -> list[dict]:
-    """Every column's own access path, then the accelerators."""
+    """Every column's own access path, then the accelerators with the number of layers that have a clustered copy."""
     single = [{"columns": [c], "kind": "parquet-statistics"} for c in dataset.schema.names]
-    return single + [{"columns": a, "kind": "accelerator"} for a in dataset.manifest.accelerators]
+    copies = dataset.manifest.copies
+    return single + [{"columns": a, "kind": "clustered-copy", "layers": len(copies.get("+".join(a), {}))} for a in dataset.manifest.accelerators]
+
+
+def representation(rows: int, cardinality: int) -> str:
+    """What a column's row sets would take least room as: bitmaps of a bit per row and value, or lists of 32-bit ids."""
+    bitmaps, ids = cardinality * rows // 8, 4 * rows
+    return "bitmap" if bitmaps < ids else "list"
 
 
 def key_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,6 +100,12 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
     return dense_ids(values, 0, "token")
 
 
+def token_matches(df: DataFrame, column: str, token: int) -> DataFrame:
+    """The rows whose value has this token in the column's dictionary."""
+    wanted = dictionary(df, column).where(F.col("token") == token).select(column)
+    return df.where(F.col(column).isNotNull()).join(wanted, column, "left_semi")
+
+
 def bitmap_hits(df: DataFrame, predicates: list, row_id: str = ROW_ID) -> DataFrame:
     """The number of rows in all predicates, by bitmaps of their row ids in buckets of a fixed size."""
     parts = [
@@ -90,10 +119,16 @@ def bitmap_hits(df: DataFrame, predicates: list, row_id: str = ROW_ID) -> DataFr
 
 
 def cardinalities(df: DataFrame, schema: Schema) -> DataFrame:
-    """One row (column, cardinality) per column: distinct values, plus one for a nullable column."""
-    counted = df.agg(*[F.count_distinct(F.col(f"`{c.name}`")).alias(c.name) for c in schema.columns])
-    pairs = F.array(*[F.struct(F.lit(c.name).alias("column"), (F.col(f"`{c.name}`") + F.lit(int(c.nullable))).cast("bigint").alias("cardinality")) for c in schema.columns])
-    return counted.select(F.explode(pairs).alias("p")).select("p.*")
+    """One row (column, cardinality) per column: distinct values, plus one for a nullable column.
+
+    Each column is read and aggregated by itself, so no row is repeated for every column.
+    """
+
+    def one(c) -> DataFrame:
+        values = df.select(F.col(f"`{c.name}`").alias("v")).where("v IS NOT NULL").distinct()
+        return values.agg((F.count("*") + F.lit(int(c.nullable))).alias("cardinality")).select(F.lit(c.name).alias("column"), "cardinality")
+
+    return reduce(DataFrame.unionByName, [one(c) for c in schema.columns])
 
 
 def stats(catalog: Catalog) -> dict:
@@ -105,41 +140,49 @@ def stats(catalog: Catalog) -> dict:
 
 
 def portfolio(sizes: list[int], widest: int, most: int, keyspace: int) -> list[tuple[int, ...]]:
-    """Column sets of two to ``widest`` columns whose key space fits, largest space per column first."""
-    found = []
-    for width in range(2, min(widest, len(sizes)) + 1):
-        for columns in combinations(range(len(sizes)), width):
-            space = 1
-            for c in columns:
-                space *= sizes[c]
-            if space <= keyspace:
-                found.append((-(space * 1_000_000 // width), space, columns))
-    return [c for _, _, c in sorted(found)[:most]]
+    """The ``most`` best sets of 2 to ``widest`` columns with at most ``keyspace`` keys.
+
+    A set's worth is its number of keys for each of its columns, as an exact
+    fraction. Of equal worth, the narrower set comes first, then the one whose
+    columns come first.
+    """
+    keys = {s: math.prod(sizes[c] for c in s) for n in range(2, widest + 1) for s in combinations(range(len(sizes)), n)}
+    fitting = (s for s, space in keys.items() if space <= keyspace)
+    return heapq.nsmallest(most, fitting, key=lambda s: (-Fraction(keys[s], len(s)), len(s), s))
 
 
 def explain(dataset: Dataset, request: Request) -> dict:
-    """The logical route, per layer, and Spark's physical plan."""
+    """The logical route, what each layer has for it, and Spark's physical plan.
+
+    For every layer: the route taken there, the access paths that the scan
+    uses, the rows that its equalities leave as candidates, and whether one of
+    its equality values doesn't occur there at all. One aggregation over the
+    rows with any of the values counts them.
+    """
     prepared = prepare(request.filters, dataset.schema)
-    equal = {p.spec.name for p in prepared if p.op == "eq"}
-    kind = route(prepared)
-    layers = []
-    for x in dataset.manifest.layers:
-        have = set(Schema.from_json(x.schema).names)
-        lacking = [p for p in prepared if p.spec.name not in have]
-        if any(not p.matches(None) for p in lacking):
-            layers.append({"layer": x.number, "route": "empty", "indexes": []})
+    equal = [p for p in prepared if p.op == "eq"]
+    kind, catalog, m = route(prepared), dataset.catalog, dataset.manifest
+    accelerator = dataset.accelerator(request)
+    copies = m.copies.get(accelerator, {})
+    counted = {}
+    if equal:
+        layers = [(x.number, catalog.spark.read.parquet(catalog.store.at(copies.get(x.path, x.path)))) for x in m.layers]
+        rows = versioned.layered(layers, dataset.schema).where(reduce(Column.__or__, [p.predicate() for p in equal]))
+        each = [F.count_if(p.predicate()).alias(f"n{i}") for i, p in enumerate(equal)]
+        both = F.count_if(reduce(Column.__and__, [p.predicate() for p in equal])).alias("candidates")
+        counted = {r[versioned.LAYER]: r for r in rows.groupBy(versioned.LAYER).agg(both, *each).collect()}
+    out = []
+    for x in m.layers:
+        names = set(Schema.from_json(x.schema).names)
+        if any(not p.matches(None) for p in prepared if p.spec.name not in names):
+            out.append({"layer": x.number, "route": "empty", "indexes": [], "candidates": 0, "dictionary_miss": bool(equal)})
             continue
-        chosen, covered = [], set()
-        for a in sorted(dataset.manifest.accelerators, key=lambda a: (-len(a), a)):
-            if set(a) <= equal and not set(a) <= covered:
-                chosen.append("+".join(a))
-                covered |= set(a)
-        chosen += sorted(equal - covered)
-        layers.append({"layer": x.number, "route": "exact_rows" if kind == "equality" else "row_candidates" if kind == "candidate_first" else "canonical_scan", "indexes": chosen})
-    plan = dataset.rows(request)._jdf.queryExecution().explainString(dataset.catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return {"route": kind, "layers": layers, "physical": plan}
-
-
-def clustered(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows range-partitioned and sorted by an accelerator's columns: its row groups then hold narrow key ranges."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns, ROW_ID)
+        own = accelerator.split("+") if x.path in copies else []
+        used = ["+".join(own)] * bool(own) + sorted({p.spec.name for p in equal} - set(own))
+        found = counted.get(x.number)
+        miss = bool(equal) and (found is None or any(not found[f"n{i}"] for i in range(len(equal))))
+        candidates = (found["candidates"] if found is not None else 0) if equal else x.rows
+        how = "exact_rows" if kind == "equality" else "row_candidates" if kind == "candidate_first" else "canonical_scan"
+        out.append({"layer": x.number, "route": how, "indexes": used, "candidates": candidates, "dictionary_miss": miss})
+    plan = dataset.rows(request)._jdf.queryExecution().explainString(catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return {"route": kind, "layers": out, "physical": plan}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from .catalog import Catalog, Layer, Manifest
 from .versioned import DELETED, VISIBILITY_SCHEMA, merge_visibility
 
 
+#: Row ids that a filter names one by one, and rows of one file of a transaction's layer.
+PUSHED_IDS, LAYER_ROWS = 1000, 1_000_000
+
+
 @dataclass(frozen=True)
 class Insert:
     values: dict[str, str | None]
@@ -87,6 +92,14 @@ def prepare(mutations: list[Mutation], schema: Schema) -> Transaction:
     return tx
 
 
+def named(rows: DataFrame, ids: Iterable[int]) -> DataFrame:
+    """The rows that may have one of the ids, by a filter that reaches the scan: the ids themselves, or their range where there are many."""
+    ids = sorted(ids)
+    if len(ids) <= PUSHED_IDS:
+        return rows.where(F.col(ROW_ID).isin(ids))
+    return rows.where(F.col(ROW_ID).between(ids[0], ids[-1]))
+
+
 def patched(rows: DataFrame, updates: dict[int, dict], schema: Schema) -> DataFrame:
     """The rows named by ``updates`` with their patches; a patched null is a value like any other, so each column has a flag."""
     fields = [T.StructField(ROW_ID, T.LongType())]
@@ -102,7 +115,7 @@ def patched(rows: DataFrame, updates: dict[int, dict], schema: Schema) -> DataFr
             line += [Decimal(v) if c.logical_type == "unsigned" and v is not None else v, c.name in patch]
         data.append(tuple(line))
     patches = rows.sparkSession.createDataFrame(data, T.StructType(fields))
-    joined = rows.join(patches, ROW_ID)
+    joined = named(rows, updates).join(patches, ROW_ID)
     return joined.select(ROW_ID, *[F.when(F.col(f"_s{i}"), F.col(f"_v{i}")).otherwise(F.col(f"`{c.name}`")).alias(c.name) for i, c in enumerate(schema.columns)])
 
 
@@ -117,7 +130,7 @@ def inserted(spark: SparkSession, rows: list[dict], first: int, schema: Schema)
 def _check_ids(view: DataFrame, ids: set[int]) -> None:
     if ids:
         wanted = view.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"{ROW_ID} bigint")
-        missing = wanted.join(view.select(ROW_ID), ROW_ID, "left_anti").orderBy(ROW_ID).limit(5).collect()
+        missing = wanted.join(named(view, ids).select(ROW_ID), ROW_ID, "left_anti").orderBy(ROW_ID).limit(5).collect()
         if missing:
             raise NotFound(f"rows {[r[0] for r in missing]} don't exist")
 
@@ -154,7 +167,9 @@ def apply(catalog: Catalog, mutations: list[Mutation]) -> Report:
         layers = list(m.layers)
         if parts:
             df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            layers.append(Layer(number, staging.write(df.coalesce(1)), len(tx.updates) + len(tx.inserts), json.loads(schema.to_json())))
+            # an exchange after the join: the scan keeps its tasks, and the layer, no larger than the list, gets few files
+            files = max(1, (len(tx.updates) + len(tx.inserts)) // LAYER_ROWS)
+            layers.append(Layer(number, staging.write(df.repartitionByRange(files, ROW_ID)), len(tx.updates) + len(tx.inserts), json.loads(schema.to_json())))
         changes = [(i, number) for i in tx.updates] + [(i, DELETED) for i in tx.deletes]
         visibility = m.visibility
         if changes:
@@ -166,7 +181,35 @@ def apply(catalog: Catalog, mutations: list[Mutation]) -> Report:
     return Report(catalog.current(), len(tx.inserts), len(tx.updates), len(tx.deletes), rows, ids)
 
 
-def append_layer(catalog: Catalog, staging, m: Manifest, rows: DataFrame, schema: Schema, source: str) -> int:
+def rewrite(catalog: Catalog, mutations: list[Mutation]) -> int:
+    """A transaction as a new base instead of a delta layer: for lists that change much of the dataset. Ids stay."""
+    with catalog.begin() as staging:
+        m = staging.base
+        if m is None:
+            raise NotFound("no dataset to change")
+        schema = Schema.from_json(m.schema)
+        tx = prepare(mutations, schema)
+        view = catalog._view(m)
+        _check_ids(view, set(tx.updates) | tx.deletes)
+        changed = set(tx.updates) | tx.deletes
+        out = view
+        if changed:
+            gone = catalog.spark.createDataFrame([(i,) for i in sorted(changed)], f"{ROW_ID} bigint")
+            out = view.join(gone, ROW_ID, "left_anti")
+        if tx.updates:
+            out = out.unionByName(patched(view, tx.updates, schema))
+        if tx.inserts:
+            out = out.unionByName(inserted(catalog.spark, tx.inserts, m.max_row_id + 1, schema))
+        path = staging.write(out.repartitionByRange(ROW_ID))
+        n = staging.read(path).count()
+        if not n:
+            raise InvalidData("a transaction can't delete all rows")
+        copies = {"+".join(a): {path: staging.clustered(path, a)} for a in m.accelerators}
+        staging.publish(replace(m, layers=[Layer(0, path, n, m.schema)], visibility=None, visible_rows=n, max_row_id=m.max_row_id + len(tx.inserts), copies=copies, source="rewrite"))
+    return catalog.current()
+
+
+def append_layer(catalog: Catalog, staging, m: Manifest, rows: DataFrame, schema: Schema, source: str, streams: dict[str, int] | None = None) -> int:
     """Stage ``rows`` (without ids) as a delta layer of its own schema; returns their number."""
     from ..schema import union
     from .versioned import dense_ids
@@ -179,7 +222,7 @@ def append_layer(catalog: Catalog, staging, m: Manifest, rows: DataFrame, schema
     if not n:
         raise InvalidData("nothing to append")
     layer = Layer(max(x.number for x in m.layers) + 1, path, n, json.loads(schema.to_json()))
-    staging.publish(replace(m, schema=json.loads(merged.to_json()), layers=[*m.layers, layer], visible_rows=m.visible_rows + n, max_row_id=m.max_row_id + n, source=source))
+    staging.publish(replace(m, schema=json.loads(merged.to_json()), layers=[*m.layers, layer], visible_rows=m.visible_rows + n, max_row_id=m.max_row_id + n, source=source, streams=streams or {}))
     return n
 
 
@@ -192,6 +235,7 @@ def compact(catalog: Catalog) -> int:
         view = catalog._view(m).repartitionByRange(ROW_ID)
         path = staging.write(view)
         n = staging.read(path).count()
-        staging.publish(replace(m, layers=[Layer(0, path, n, m.schema)], visibility=None, visible_rows=n, source="compaction"))
+        copies = {"+".join(a): {path: staging.clustered(path, a)} for a in m.accelerators}
+        staging.publish(replace(m, layers=[Layer(0, path, n, m.schema)], visibility=None, visible_rows=n, copies=copies, source="compaction"))
     return catalog.current()
 

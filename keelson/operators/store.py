@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +28,9 @@ class Store:
     def at(self, name: str = "") -> str:
         return f"{self.root}/{name}" if name else self.root
 
+    def qualified(self) -> str:
+        return self._fs.makeQualified(self._path(self.root)).toString()
+
     def _p(self, name: str):
         return self._path(self.at(name))
 
@@ -43,15 +50,22 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Replace a small file: written beside it, then renamed over it."""
+        """Replace a small file: written beside it, then renamed over it in one step, so that readers see the old or the new one."""
         own = f"{name}.tmp-{uuid.uuid4().hex}"
         self._create(own, text, False)
-        target = self._p(name)
-        if not self._fs.rename(self._p(own), target):
-            # file systems whose rename doesn't replace
-            self._fs.delete(target, False)
-            if not self._fs.rename(self._p(own), target):
-                raise ConflictError(f"{self.at(name)} can't be replaced")
+        try:
+            self._replace(own, name)
+        except Exception:
+            self.delete(own)
+            raise
+
+    def _replace(self, own: str, name: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        source, target = (self._fs.makeQualified(self._p(n)) for n in (own, name))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf).rename(source, target, how)
 
     def _create(self, name: str, text: str, overwrite: bool) -> None:
         stream = self._fs.create(self._p(name), overwrite)
@@ -72,9 +86,33 @@ class Store:
             raise
         return True
 
-    def append(self, name: str, text: str) -> None:
-        """Add to a small file (a log) on the driver."""
-        self.write(name, (self.read(name) if self.exists(name) else "") + text)
+    def age(self, name: str) -> float | None:
+        """Seconds since a file was last written, or None if it isn't there."""
+        try:
+            return time.time() - self._fs.getFileStatus(self._p(name)).getModificationTime() / 1000
+        except Exception:
+            if self.exists(name):
+                raise
+            return None
+
+    @contextmanager
+    def beating(self, name: str, text: str, every: float) -> Iterator[None]:
+        """Write a file again every so many seconds, so that its age tells whether its owner lives."""
+        done = threading.Event()
+
+        def beat() -> None:
+            while not done.wait(every):
+                with suppress(Exception):  # a missed beat only ages the file
+                    if self.exists(name) and self.read(name) == text:
+                        self._create(name, text, True)
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
 
     def rename(self, old: str, new: str) -> None:
         if self.exists(new) or not self._fs.rename(self._p(old), self._p(new)):
@@ -91,6 +129,14 @@ class Store:
     def is_dir(self, name: str) -> bool:
         return self.exists(name) and self._fs.getFileStatus(self._p(name)).isDirectory()
 
+    def sha256(self, name: str) -> str:
+        """The digest of one small file."""
+        stream = self._fs.open(self._p(name))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def files(self, name: str) -> dict[str, int]:
         """Sizes of all files below a folder, by path from the root; hidden and checksum files are left out."""
         out: dict[str, int] = {}

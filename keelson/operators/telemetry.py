@@ -41,10 +41,8 @@ def record(catalog: Catalog, e: dict) -> None:
 def query(catalog: Catalog, dataset: Dataset, request: Request) -> Page:
     """Run a request and log it."""
     page = dataset.query(request)
-    columns = {f.column for f in request.filters if isinstance(f, Eq)}
-    pure = all(isinstance(f, Eq) for f in request.filters)
-    used = sorted("+".join(a) for a in dataset.manifest.accelerators if pure and set(a) <= columns)
-    record(catalog, event(request, page, used))
+    used = dataset.accelerator(request)
+    record(catalog, event(request, page, [used] if used else []))
     return page
 
 
@@ -100,10 +98,11 @@ def recommendations(log: DataFrame, accelerators: list[list[str]]) -> DataFrame:
     return per.withColumn("score", F.col("observed_queries") * F.log(F.col("avg_rows_examined") + 2)).orderBy(F.desc("score"), "columns")
 
 
-def report(catalog: Catalog) -> dict:
+def report(catalog: Catalog, top: int = 100) -> dict:
+    """The whole log's figures, and the ``top`` shapes, indexes and recommendations; their frames have all."""
     log = events(catalog)
     accelerators = catalog.manifest().accelerators if catalog.current() is not None else []
-    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  one row per query shape or index
+    rows = lambda df: [r.asDict() for r in df.limit(top).collect()]
     return overall(log).first().asDict() | {"shapes": rows(shapes(log)), "index_use": rows(index_use(log)), "recommendations": rows(recommendations(log, accelerators))}
 
 
@@ -118,6 +117,11 @@ class Timing:
     hits: int
 
 
+def at_rank(taken: list[int], q: float) -> int:
+    """A percentile of sorted timings: the one at the rank (n - 1) * q, rounded up."""
+    return taken[math.ceil((len(taken) - 1) * q)]
+
+
 def benchmark(dataset: Dataset, request: Request, iterations: int = 10, warmups: int = 2) -> Timing:
     """Time a request without logging it. Percentiles are sorted[ceil((n - 1) * q)]."""
     iterations, warmups = min(max(iterations, 1), 50), min(max(warmups, 0), 20)
@@ -128,5 +132,4 @@ def benchmark(dataset: Dataset, request: Request, iterations: int = 10, warmups:
         if k >= warmups:
             taken.append(int((time.monotonic() - began) * 1e6))
     taken.sort()
-    at = lambda q: taken[math.ceil((len(taken) - 1) * q)]
-    return Timing(iterations, taken[0], at(0.5), at(0.95), at(0.99), taken[-1], hits)
+    return Timing(iterations, taken[0], at_rank(taken, 0.5), at_rank(taken, 0.95), at_rank(taken, 0.99), taken[-1], hits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import lookup
 from ..schema import ROW_ID, Schema
 
 LAYER, TARGET, DELETED = "_layer", "_target", -1
@@ -64,7 +65,6 @@ def dense_ids(rows: DataFrame, first: int = 0, name: str = ROW_ID) -> DataFrame:
         total += counts[p]
     if not offsets:
         return rows.withColumn(name, F.lit(None).cast("bigint"))
-    table = rows.sparkSession.createDataFrame(offsets, "_part int, _first bigint")
+    table = lookup(rows.sparkSession, offsets, "_part int, _first bigint")
     at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    # one small row per partition of the source
-    return tagged.join(F.broadcast(table), "_part").withColumn(name, F.col("_first") + at).drop("_part", "_at", "_first")
+    return tagged.join(table, "_part").withColumn(name, F.col("_first") + at).drop("_part", "_at", "_first")

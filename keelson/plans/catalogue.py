@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import KeelsonError
 from ..functions import canonical
 from ..operators import buckets, indexes, mutation, telemetry, versioned
 from ..operators.catalog import Catalog
@@ -18,6 +15,7 @@ from ..sources import attached, export, imports
 from ..streaming.append import append_batch
 from . import query as Q
 from .request import Eq, In, Range, Request
+from .shared import materialised, scratch
 from .tables import SCHEMAS, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,15 +33,6 @@ def register(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the cluster's shared folder, removed when the session ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keelson-")
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def _found(spark: SparkSession, sf_dir: str, name: str, *filters) -> DataFrame:
     """All matches of a conjunction, with the row id."""
     df, schema = view(spark, sf_dir, name)
@@ -121,16 +110,8 @@ def filter_contradiction(spark, sf_dir):
     return _found(spark, sf_dir, "orders", Eq("o_orderstatus", "O"), Eq("o_orderstatus", "F"))
 
 
-@register(_ORDERS + " WHERE o_orderstatus = 'F' AND o_custkey BETWEEN 10 AND 90 ORDER BY 1 LIMIT 100")
-def filter_mixed_eq_range(spark, sf_dir):
-    df, schema = view(spark, sf_dir, "orders")
-    request = Request(filters=(Eq("o_orderstatus", "F"), Range("o_custkey", "10", "90")), limit=100)
-    return Q.page(df, request, schema).withColumn("o_custkey", F.col("o_custkey").cast("bigint"))
-
-
 @register(_ORDERS + " WHERE o_orderstatus = 'F' AND o_custkey BETWEEN 10 AND 90")
-def filter_mixed_eq_range_all(spark, sf_dir):
-    """Every match, without a page's limit."""
+def filter_mixed_eq_range(spark, sf_dir):
     return _found(spark, sf_dir, "orders", Eq("o_orderstatus", "F"), Range("o_custkey", "10", "90"))
 
 
@@ -152,14 +133,9 @@ def filter_is_null(spark, sf_dir):
 # -- projection, order, pages
 
 
-@register("SELECT o_orderkey AS _row_id, o_orderpriority, o_custkey::VARCHAR AS o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY 1 LIMIT 50")
-def project_reorder(spark, sf_dir):
-    return _page(spark, sf_dir, "orders", filters=(Eq("o_orderstatus", "P"),), select=("o_orderpriority", "o_custkey"), limit=50)
-
-
 @register("SELECT o_orderkey AS _row_id, o_orderpriority, o_custkey::VARCHAR AS o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def project_reorder_all(spark, sf_dir):
-    """Every match as canonical text, without a page's limit."""
+def project_reorder(spark, sf_dir):
+    """Every match as canonical text."""
     df, schema = view(spark, sf_dir, "orders")
     found = Q.matches(df, Request(filters=(Eq("o_orderstatus", "P"),)), schema)
     return found.select(ROW_ID, *[canonical.text(F.col(n), schema[n]).alias(n) for n in ("o_orderpriority", "o_custkey")])
@@ -261,14 +237,8 @@ def bitmap_conjunction(spark, sf_dir):
     return indexes.bitmap_hits(orders, predicates)
 
 
-@register("SELECT o_orderkey AS _row_id, o_orderstatus FROM orders WHERE o_orderkey % 97 = 0 ORDER BY 1")
-def ordered_scan(spark, sf_dir):
-    orders, _ = view(spark, sf_dir, "orders")
-    return orders.where(F.col(ROW_ID) % 97 == 0).select(ROW_ID, "o_orderstatus").orderBy(ROW_ID)
-
-
 @register("SELECT o_orderkey AS _row_id, o_orderstatus FROM orders ORDER BY 1")
-def ordered_scan_all(spark, sf_dir):
+def ordered_scan(spark, sf_dir):
     """Every visible row in row-id order."""
     return view(spark, sf_dir, "orders")[0].select(ROW_ID, "o_orderstatus").orderBy(ROW_ID)
 
@@ -351,7 +321,6 @@ def publish(catalog: Catalog, rows: DataFrame, schema: Schema) -> None:
     import json
 
     from ..operators.catalog import Layer, Manifest
-    from .shared import materialised
 
     with catalog.begin(empty=True) as staging:
         path = staging.write(versioned.dense_ids(materialised(rows)))
@@ -451,14 +420,6 @@ def bucket_transfer_move(spark, sf_dir):
     return _transferred(spark, sf_dir, True).catalog().dataset().frame
 
 
-@register()
-def bucket_list(spark, sf_dir):
-    b = _transferred(spark, sf_dir, False)
-    b.create("third")
-    b.rename("third", "A third")
-    return spark.createDataFrame(b.list(), "id string, name string")
-
-
 # -- statistics
 
 
@@ -684,64 +645,7 @@ def stream_append(spark, sf_dir):
     return catalog.dataset().frame
 
 
-# -- lifecycle and reports
-
-
-@register()
-def generation_lifecycle(spark, sf_dir):
-    """What each step of a dataset's life leaves behind."""
-    catalog = _customers(spark, sf_dir)
-    out = [("created", catalog.current(), catalog.verify()["visible_rows"])]
-    mutation.apply(catalog, [mutation.Delete(0)])
-    out.append(("deleted", catalog.current(), catalog.verify()["visible_rows"]))
-    catalog.rollback(1)
-    out.append(("rolled back", catalog.current(), catalog.verify()["visible_rows"]))
-    copy = scratch(spark, "backup")
-    catalog.backup(copy)
-    catalog.restore(copy)
-    out.append(("restored", catalog.current(), catalog.verify()["visible_rows"]))
-    mutation.compact(catalog)
-    out.append(("compacted", catalog.current(), catalog.verify()["visible_rows"]))
-    with catalog.lease(1):
-        out.append(("vacuumed", len(catalog.vacuum(retain=1)), len(catalog.generations())))
-    out.append(("recovered", catalog.recover(), len(catalog.generations())))
-    return spark.createDataFrame(out, "step string, generation bigint, rows bigint")
-
-
-@register()
-def tamper_detection(spark, sf_dir):
-    catalog = _customers(spark, sf_dir)
-    m = catalog.manifest()
-    name = next(iter(catalog.store.files(m.layers[0].path)))
-    catalog.store.delete(name)
-    try:
-        catalog.verify()
-        found = "intact"
-    except KeelsonError as e:
-        found = type(e).__name__
-    return spark.createDataFrame([(found,)], "verdict string")
-
-
-@register()
-def explain_routes(spark, sf_dir):
-    catalog = _mutated(spark, sf_dir)
-    indexes.add(catalog, ["c_name", "c_mktsegment"])
-    d, out = catalog.dataset(), []
-    name, segment, nation = Eq("c_name", "New"), Eq("c_mktsegment", "none"), Range("c_nationkey", "1", "9")
-    for filters in ((), (name,), (name, segment), (name, nation), (nation,), (Range("c_nationkey", gte="3"),)):
-        r = indexes.explain(d, Request(filters=filters))
-        out.append((len(filters), r["route"], ";".join(",".join(x["indexes"]) for x in r["layers"])))
-    return spark.createDataFrame(out, "filters int, route string, indexes string")
-
-
-@register()
-def query_log_report(spark, sf_dir):
-    catalog = _mutated(spark, sf_dir)
-    d = catalog.dataset()
-    for f in ((Eq("c_name", "New"), Eq("c_mktsegment", "none")), (Eq("c_name", "New"),), (Eq("c_name", "New"), Eq("c_mktsegment", "none"))):
-        telemetry.query(catalog, d, Request(filters=f))
-    r = telemetry.report(catalog)
-    return spark.createDataFrame([(r["query_count"], len(r["shapes"]), r["recommendations"][0]["observed_queries"])], "query_count bigint, shapes bigint, observed bigint")
+# -- candidates for accelerators
 
 
 @register("SELECT 0::BIGINT AS place, '1,2' AS columns UNION ALL SELECT 1, '0,2' UNION ALL SELECT 2, '0,1'")

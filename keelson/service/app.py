@@ -11,6 +11,7 @@ import contextlib
 import hashlib
 import json
 import os
+import resource
 import secrets
 import shutil
 import threading
@@ -29,6 +30,7 @@ from ..plans.query import matches
 from ..plans.request import MAX_LIMIT, Request
 from ..schema import Schema
 from ..sources import export, imports
+from ..sources.attached import Attached
 
 ROLES = ("read", "write", "admin")
 CHUNK_BYTES, JOB_SECONDS = 4 << 20, 24 * 3600
@@ -47,7 +49,9 @@ class Config:
     max_mutations: int = 100_000
     part_rows: int = 1_000_000
     import_builds: int = 1
-    uploads: str = ""  # a local folder for upload chunks, by default below the root
+    uploads: str = ""  # a folder for upload chunks that the executors can read too, by default below the root
+    attached: dict[str, list[str]] = field(default_factory=dict)  # Parquet files queried in place, by name
+    sources: list[str] = field(default_factory=list)  # folders from which Parquet shards may be imported
 
 
 class Refused(Exception):
@@ -95,14 +99,18 @@ class Service:
         self.datasets: dict[str, Dataset] = {}
         self.jobs: dict[str, Job] = {}
         self.links: dict[str, dict] = {}
+        self.shards: dict[str, Attached] = {}
+        self.began = time.time()
         self.downloads = threading.Semaphore(2)
         self.uploads = Path(config.uploads or f"{config.root}/uploads")
         routes = [
-            ("GET", "/healthz", None, lambda b: {"ok": True}), ("GET", "/readyz", None, self._ready), ("GET", "/metrics", "read", lambda b: dict(self.counters)),
+            ("GET", "/healthz", None, lambda b: {"ok": True}), ("GET", "/readyz", None, self._ready), ("GET", "/metrics", "read", lambda b: {"text": self.metrics()}), ("GET", "/v1/diagnostics", "admin", lambda b: self.diagnostics()),
             ("GET", "/v1/buckets", "read", lambda b: {"buckets": [{"id": i, "name": n} for i, n in self.buckets.list()]}), ("GET", "/v1/stats", "read", lambda b: indexes.stats(self._catalog(b))),
             ("GET", "/v1/schema", "read", lambda b: self._dataset(b).manifest.schema), ("GET", "/v1/workload", "read", lambda b: telemetry.report(self._catalog(b))),
             ("GET", "/v1/generations", "read", lambda b: {"current": self._catalog(b).current(), "generations": self._catalog(b).generations()}), ("GET", "/v1/indexes", "read", lambda b: {"indexes": indexes.listing(self._dataset(b))}),
             ("POST", "/v1/query", "read", self._query), ("POST", "/v1/explain", "read", lambda b: indexes.explain(self._dataset(b), self._request(b))), ("POST", "/v1/row", "read", self._row), ("POST", "/v1/benchmark", "admin", self._benchmark),
+            ("GET", "/v1/attached", "read", lambda b: {"attached": [{"name": n, "rows": self._attached(n).rows} for n in sorted(self.config.attached)]}),
+            ("POST", "/v1/attached/query", "read", self._attached_query), ("POST", "/v1/attached/row", "read", self._attached_row), ("POST", "/v1/admin/import/parquet", "admin", self._import_parquet),
             ("POST", "/v1/export", "read", self._export), ("POST", "/v1/mutate", "write", self._mutate), ("POST", "/v1/buckets/transfer", "write", self._transfer),
             ("POST", "/v1/admin/buckets/create", "admin", lambda b: self.buckets.create(b["id"], b.get("name"))), ("POST", "/v1/admin/buckets/rename", "admin", lambda b: self.buckets.rename(b["id"], b["name"])),
             ("POST", "/v1/admin/buckets/delete", "admin", lambda b: self.buckets.delete(b["id"])), ("POST", "/v1/admin/buckets/combine", "admin", lambda b: {"generation": self.buckets.combine(b["sources"], b["target"])}),
@@ -227,6 +235,55 @@ class Service:
     def _transfer(self, b: dict) -> dict:
         return asdict(self.buckets.transfer(b["source"], b["target"], b["row_ids"], b.get("move", False)))
 
+    # -- files in place
+
+    def _attached(self, name: str) -> Attached:
+        if name not in self.config.attached:
+            raise NotFound(f"attached files {name}")
+        if name not in self.shards:
+            self.shards[name] = Attached(self.spark, self.config.attached[name])
+        return self.shards[name]
+
+    def _attached_query(self, b: dict) -> dict:
+        rows, cursor = self._attached(b["name"]).query(self._request({k: v for k, v in b.items() if k != "name"}))
+        return {"rows": [r.asDict() for r in rows], "next_cursor": cursor}
+
+    def _attached_row(self, b: dict) -> dict:
+        found = self._attached(b["name"]).row(int(b["row_id"]))
+        if found is None:
+            raise NotFound(f"row {b['row_id']}")
+        return {"row_id": b["row_id"], "values": found}
+
+    def _import_parquet(self, b: dict) -> dict:
+        """A job that imports Parquet shards from an allowed folder; its state is read like an upload's."""
+        inside = lambda p: ".." not in p.split("/") and any(p.startswith(f.rstrip("/") + "/") for f in self.config.sources)
+        if not b["paths"] or not all(inside(p) for p in b["paths"]):
+            raise InvalidRequest("shards must lie in one of the service's source folders")
+        schema = Schema.from_json(b["schema"])
+        job = Job(secrets.token_hex(16), b.get("bucket", DEFAULT), json.loads(schema.to_json()), 0, "", stage="queued")
+        self.jobs[job.id] = job
+        work = lambda catalog: imports.import_parquet(catalog, b["paths"], schema, b.get("hot"), b.get("indexes"))
+        threading.Thread(target=self._run, args=(job, work), daemon=True).start()
+        return asdict(job)
+
+    # -- figures
+
+    def diagnostics(self) -> dict:
+        """The process, the dataset folder's file system, the session and the counters."""
+        usage, root = resource.getrusage(resource.RUSAGE_SELF), self.buckets.store
+        sc = self.spark.sparkContext
+        return {
+            "process": {"uptime_seconds": time.time() - self.began, "cpu_seconds": usage.ru_utime + usage.ru_stime, "peak_rss_bytes": usage.ru_maxrss * 1024, "threads": threading.active_count(), "page_faults": usage.ru_majflt},
+            "filesystem": {"free_bytes": root.free_bytes(), "root": root.root},
+            "spark": {"version": sc.version, "master": sc.master, "parallelism": sc.defaultParallelism},
+            "service": dict(self.counters) | {"jobs": len(self.jobs), "export_links": len(self.links), "open_datasets": len(self.datasets)},
+        }
+
+    def metrics(self) -> str:
+        """The numbers of ``diagnostics``, a line each, for scrapers."""
+        lines = [f"keelson_{part}_{name} {value}" for part, of in self.diagnostics().items() for name, value in of.items() if not isinstance(value, str)]
+        return "\n".join(lines) + "\n"
+
     def _import_csv(self, b: dict) -> dict:
         """A whole small CSV in one request; a populated bucket is refused."""
         self.uploads.mkdir(parents=True, exist_ok=True)
@@ -363,17 +420,24 @@ class Service:
             return hashlib.sha256(f.read(1 << 20)).hexdigest()
 
     def _build(self, job: Job, path: Path) -> None:
+        source, schema = f"file://{os.path.abspath(path)}", Schema.from_json(job.schema)
+        try:
+            self._run(job, lambda catalog: imports.import_segmented(catalog, source, schema, self.config.part_rows, append=catalog.current() is not None))
+        finally:
+            with contextlib.suppress(OSError):
+                path.unlink()
+
+    def _run(self, job: Job, work: Callable[[Catalog], imports.Report]) -> None:
+        """A job's import, when its turn comes."""
         with self.builds:
             job.stage = "importing"
             try:
-                catalog = self.buckets.catalog(job.bucket)
-                r = imports.import_segmented(catalog, f"file://{os.path.abspath(path)}", Schema.from_json(job.schema), self.config.part_rows, append=catalog.current() is not None)
-                job.stage, job.rows = "complete", r.accepted_rows
+                r = work(self.buckets.catalog(job.bucket))
+                job.rows = r.accepted_rows
+                job.stage = "complete"
             except Exception as e:
-                job.stage, job.error = "failed", str(e)[:500]
-            finally:
-                with contextlib.suppress(OSError):
-                    path.unlink()
+                job.error = str(e)[:500]
+                job.stage = "failed"
 
     def _expire(self) -> None:
         for job in [j for j in self.jobs.values() if time.time() - j.created > JOB_SECONDS]:

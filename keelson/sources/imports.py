@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, InvalidData, NotFound
-from ..operators.catalog import Catalog, Layer, Manifest
+from ..operators.catalog import Catalog, Layer, Manifest, Staging
 from ..schema import ROW_ID, Schema, union
 from . import rows as R
 
@@ -24,11 +24,13 @@ class Report:
     resumed: bool = False
 
 
-def _manifest(schema: Schema, path: str, n: int, accelerators: list[list[str]], hot: list[str], source: str) -> Manifest:
+def _manifest(staging: Staging, schema: Schema, path: str, n: int, accelerators: list[list[str]], hot: list[str], source: str) -> Manifest:
     raw = json.loads(schema.to_json())
     for columns in accelerators:
         check_accelerator(schema, columns)
-    return Manifest(0, raw, [Layer(0, path, n, raw)], None, n, n - 1, [sorted(x) for x in accelerators], hot, source=source)
+    sets = sorted({tuple(sorted(x)) for x in accelerators})
+    copies = {"+".join(x): {path: staging.clustered(path, list(x))} for x in sets}
+    return Manifest(0, raw, [Layer(0, path, n, raw)], None, n, n - 1, [list(x) for x in sets], hot, source=source, copies=copies)
 
 
 def check_accelerator(schema: Schema, columns: list[str]) -> None:
@@ -49,17 +51,17 @@ def _strict(checked: DataFrame, schema: Schema) -> tuple[int, Schema]:
     return r["n"], schema.widened(c.name for i, c in enumerate(schema.columns) if r[f"w{i}"])
 
 
-def import_csv(catalog: Catalog, path: str, schema: Schema, accelerators: list[list[str]] | None = None, initial: bool = False, multiline: bool = True) -> Report:
+def import_csv(catalog: Catalog, path: str, schema: Schema, accelerators: list[list[str]] | None = None, initial: bool = False, multiline: bool | None = None) -> Report:
     """Strict CSV as a new generation that replaces the current one. initial: refuse a populated dataset."""
     with catalog.begin(empty=initial) as staging:
         raw = R.checked(R.strict_csv(catalog.spark, path, schema, multiline), schema, True)
         n, schema = _strict(raw, schema)
         out = staging.write(R.positioned(R.stored(raw, schema, True), 0, ROW_ID))
-        staging.publish(_manifest(schema, out, n, accelerators or [], [], f"csv:{path}"))
+        staging.publish(_manifest(staging, schema, out, n, accelerators or [], [], f"csv:{path}"))
     return Report(catalog.current(), n, n, 0)
 
 
-def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part: int = 1_000_000, append: bool = False, multiline: bool = True, bytes_per_part: int | None = None) -> Report:
+def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part: int = 1_000_000, append: bool = False, multiline: bool | None = None, bytes_per_part: int | None = None) -> Report:
     """Strict CSV in parts of so many rows, published at once: the first is the base, the others delta layers.
 
     bytes_per_part: also at most about so many bytes of the source in a part, by its average row.
@@ -104,7 +106,7 @@ def _grown(base: Manifest, schema: Schema, layers: list[Layer], n: int, source:
     return replace(base, schema=json.loads(schema.to_json()), layers=[*base.layers, *layers], visible_rows=base.visible_rows + n, max_row_id=base.max_row_id + n, source=source)
 
 
-def append_csv(catalog: Catalog, path: str, schema: Schema, multiline: bool = True) -> Report:
+def append_csv(catalog: Catalog, path: str, schema: Schema, multiline: bool | None = None) -> Report:
     """Strict CSV as one delta layer. Shared columns must agree with the current schema; new and absent ones become nullable."""
     return import_segmented(catalog, path, schema, rows_per_part=2**62, append=True, multiline=multiline)
 
@@ -131,7 +133,7 @@ def preflight(catalog: Catalog, path: str, least_free: int = 256 << 20) -> None:
 
 
 def import_external(
-    catalog: Catalog, path: str, schema: Schema, kind: str, max_rejects: int = 0, rejects: str | None = None, unknown: bool = False, accelerators: list[list[str]] | None = None, resume: bool = False, multiline: bool = True
+    catalog: Catalog, path: str, schema: Schema, kind: str, max_rejects: int = 0, rejects: str | None = None, unknown: bool = False, accelerators: list[list[str]] | None = None, resume: bool = False, multiline: bool | None = None
 ) -> Report:
     """Tolerant import of csv, jsonl or json: bad rows are rejected, up to ``max_rejects``, with their reasons.
 
@@ -169,7 +171,7 @@ def import_external(
     n = counts["rows"] - counts["bad"]
     with catalog.begin() as staging:
         out = staging.write(spark.read.parquet(catalog.store.at(spool)))
-        staging.publish(_manifest(schema, out, n, accelerators or [], [], f"{kind}:{path}"))
+        staging.publish(_manifest(staging, schema, out, n, accelerators or [], [], f"{kind}:{path}"))
     catalog.store.delete(spool)
     catalog.store.delete(f"{spool}.json")
     return Report(catalog.current(), counts["rows"], n, counts["bad"], resumed)
@@ -186,5 +188,5 @@ def import_parquet(catalog: Catalog, paths: list[str], schema: Schema, hot: list
         raw = R.checked(R.parquet(catalog.spark, paths, schema), schema, False)
         n, schema = _strict(raw, schema)
         out = staging.write(R.positioned(R.stored(raw, schema, False), 0, ROW_ID))
-        staging.publish(_manifest(schema, out, n, accelerators or [], hot, "parquet"))
+        staging.publish(_manifest(staging, schema, out, n, accelerators or [], hot, "parquet"))
     return Report(catalog.current(), n, n, 0)

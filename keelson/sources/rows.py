@@ -8,7 +8,14 @@ from __future__ import annotations
 
 import csv
 import io
-
+import json
+import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,31 +23,90 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidData
 from ..functions import canonical
+from ..plans.shared import lookup
 from ..schema import Schema
 
 ERROR, RAW, SHORT, FILE, BLOCK = "_error", "_raw", "_short", "_file", "_block"
 _CORRUPT = "_corrupt_record"
+HEADER_BYTES, JSON_CHARS = 1 << 16, 1 << 20
 _BARE = "\x00bare\x00"  # no cell is this text
 
 
+def _first_record(spark: SparkSession, path: str) -> str:
+    """The first record of one CSV file, line breaks in quotes included; read from its start, no further than needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        source = stream if codec is None else codec.createInputStream(stream)
+        data, quoted, seen = b"", False, 0
+        while True:
+            more = bytes(source.readNBytes(HEADER_BYTES))
+            data += more
+            for k in range(seen, len(data)):
+                if data[k] == 0x22:
+                    quoted = not quoted
+                elif data[k] in (0x0A, 0x0D) and not quoted:
+                    return data[:k].decode()
+            seen = len(data)
+            if not more:
+                return data.decode()
+    finally:
+        stream.close()
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The first record of a CSV file (or of the first file of a folder)."""
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    if not first:
+    """The names in the first record of one CSV file."""
+    record = _first_record(spark, path).lstrip("\ufeff")
+    names = next(csv.reader(io.StringIO(record, newline="")), [])
+    if not names:
         raise InvalidData(f"{path} is empty")
-    names = next(csv.reader(io.StringIO(first[0][0].lstrip("﻿").rstrip("\r"))), [])
     return names
 
 
+def _groups(spark: SparkSession, path: str, multiline: bool | None) -> list[tuple[list[str], bool, list[str]]]:
+    """(header, whether records may span lines, files) for the files of a folder or pattern; each file has a header of its own.
+
+    What is held is a name list per different header and a path per file.
+    multiline: None finds out which files need it. A file without such records
+    can be split among tasks; small files are one task's work either way.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        raise InvalidData(f"{path} has no files")
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: tuple(header(spark, f)), files))
+    spanning = set(files) if multiline is None else set(files) if multiline else set()
+    if multiline is None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+        least = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        large = [f for f, p in zip(files, paths, strict=True) if p.getFileSystem(conf).getFileStatus(p).getLen() > least]
+        if large:
+            # a record that spans lines has a line with an odd number of quotes; a lone CR would end a line for one reader only
+            plain = [unquote(f) for f in large]
+            line, told = F.col("value"), F.col("_metadata.file_path")
+            odd = (F.length(line) - F.length(F.translate(line, '"', ""))) % 2 == 1
+            found = spark.read.option("lineSep", "\n").text(plain).where(odd | line.rlike("\r.")).select(told.alias("f")).distinct().collect()
+            same = lambda f: re.sub("^file:/+", "file:/", f)  # noqa: E731  the two ways in which Spark writes a local path
+            odd_files = {same(r["f"]) for r in found}
+            spanning -= {f for f in large if same(f) not in odd_files}
+    groups: dict[tuple, list[str]] = {}
+    for f, names in zip(files, headers, strict=True):
+        groups.setdefault((names, f in spanning or any("\n" in n or "\r" in n for n in names)), []).append(f)
+    return [(list(names), spans, of) for (names, spans), of in groups.items()]
+
+
 def _cells(names: list[str]) -> list[str]:
     return [f"c{i}" for i in range(len(names))]
 
 
-def _csv(spark: SparkSession, path: str, names: list[str], multiline: bool) -> DataFrame:
+def _csv(spark: SparkSession, files: list[str], names: list[str], multiline: bool) -> DataFrame:
     """Cells c0, c1, ... in file order, the corrupt record, and the file position."""
     struct = T.StructType([*[T.StructField(c, T.StringType()) for c in _cells(names)], T.StructField(_CORRUPT, T.StringType())])
     reader = spark.read.schema(struct).options(header=True, mode="PERMISSIVE", multiLine=multiline, quote='"', escape='"', nullValue=_BARE, emptyValue="", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True, maxCharsPerColumn=-1)
-    return reader.csv(path).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
+    return reader.csv([unquote(f) for f in files]).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
 
 
 def _tokens(line: SparkColumn) -> SparkColumn:
@@ -49,39 +115,48 @@ def _tokens(line: SparkColumn) -> SparkColumn:
     return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
 
 
-def strict_csv(spark: SparkSession, path: str, schema: Schema, multiline: bool = True) -> DataFrame:
-    """Cells by schema name. The header must name every column once and nothing else, in any order.
+def strict_csv(spark: SparkSession, path: str, schema: Schema, multiline: bool | None = None) -> DataFrame:
+    """Cells by schema name. Every file's header must name each column once and nothing else, in any order of its own.
 
     A short row gives nulls (flagged in ``_short``), a long one is an error.
     """
-    names = header(spark, path)
-    if len(set(names)) != len(names):
-        raise InvalidData(f"duplicate CSV header in {names}")
-    unexpected, missing = set(names) - set(schema.names), set(schema.names) - set(names)
-    if unexpected or missing:
-        raise InvalidData(f"CSV header lacks {sorted(missing)} and has unexpected {sorted(unexpected)}")
-    rows = _csv(spark, path, names, multiline)
-    n = len(names)
-    broken = F.col(_CORRUPT).isNotNull()
-    count = F.when(broken, _tokens(F.col(_CORRUPT))).otherwise(n)
-    rows = rows.withColumn("_count", count)
-    cells = [F.when(F.col("_count") > i, F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(name) for i, name in enumerate(names)]
-    error = F.when(F.col("_count") > n, F.concat(F.lit("row has too many cells: "), F.col(_CORRUPT))).when(broken & (F.col("_count") == n), F.concat(F.lit("malformed row: "), F.col(_CORRUPT)))
-    wide = rows.select(*cells, error.alias(ERROR), (F.col("_count") < n).alias(SHORT), F.col(_CORRUPT).alias(RAW), FILE, BLOCK)
-    return wide.select(*[F.col(f"`{c}`") for c in schema.names], ERROR, SHORT, RAW, FILE, BLOCK)
-
-
-def tolerant_csv(spark: SparkSession, path: str, schema: Schema, multiline: bool = True) -> DataFrame:
+
+    def of(names: list[str], spans: bool, files: list[str]) -> DataFrame:
+        rows = _csv(spark, files, names, spans)
+        n = len(names)
+        broken = F.col(_CORRUPT).isNotNull()
+        rows = rows.withColumn("_count", F.when(broken, _tokens(F.col(_CORRUPT))).otherwise(n))
+        cells = [F.when(F.col("_count") > i, F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(name) for i, name in enumerate(names)]
+        error = F.when(F.col("_count") > n, F.concat(F.lit("row has too many cells: "), F.col(_CORRUPT))).when(broken & (F.col("_count") == n), F.concat(F.lit("malformed row: "), F.col(_CORRUPT)))
+        wide = rows.select(*cells, error.alias(ERROR), (F.col("_count") < n).alias(SHORT), F.col(_CORRUPT).alias(RAW), FILE, BLOCK)
+        return wide.select(*[F.col(f"`{c}`") for c in schema.names], ERROR, SHORT, RAW, FILE, BLOCK)
+
+    groups = _groups(spark, path, multiline)
+    for names, _, files in groups:
+        if len(set(names)) != len(names):
+            raise InvalidData(f"duplicate CSV header in {names} of {files[0]}")
+        unexpected, missing = set(names) - set(schema.names), set(schema.names) - set(names)
+        if unexpected or missing:
+            raise InvalidData(f"the CSV header of {files[0]} lacks {sorted(missing)} and has unexpected {sorted(unexpected)}")
+    return reduce(DataFrame.unionAll, [of(*g) for g in groups])
+
+
+def tolerant_csv(spark: SparkSession, path: str, schema: Schema, multiline: bool | None = None) -> DataFrame:
     """As ``strict_csv``, but extra columns are ignored, the last of equal headers wins, and an absent cell is empty text."""
-    names = header(spark, path)
-    missing = set(schema.names) - set(names)
-    if missing:
-        raise InvalidData(f"CSV header lacks {sorted(missing)}")
-    rows = _csv(spark, path, names, multiline)
-    at = {name: i for i, name in enumerate(names)}
-    cells = [F.coalesce(F.col(f"c{at[c]}"), F.lit("")).alias(c) for c in schema.names]
-    raw = F.coalesce(F.col(_CORRUPT), F.to_csv(F.struct(*_cells(names))))
-    return rows.select(*cells, F.lit(None).cast("string").alias(ERROR), F.lit(False).alias(SHORT), raw.alias(RAW), FILE, BLOCK)
+
+    def of(names: list[str], spans: bool, files: list[str]) -> DataFrame:
+        rows = _csv(spark, files, names, spans)
+        at = {name: i for i, name in enumerate(names)}
+        cells = [F.coalesce(F.col(f"c{at[c]}"), F.lit("")).alias(c) for c in schema.names]
+        raw = F.coalesce(F.col(_CORRUPT), F.to_csv(F.struct(*_cells(names))))
+        return rows.select(*cells, F.lit(None).cast("string").alias(ERROR), F.lit(False).alias(SHORT), raw.alias(RAW), FILE, BLOCK)
+
+    groups = _groups(spark, path, multiline)
+    for names, _, files in groups:
+        missing = set(schema.names) - set(names)
+        if missing:
+            raise InvalidData(f"the CSV header of {files[0]} lacks {sorted(missing)}")
+    return reduce(DataFrame.unionAll, [of(*g) for g in groups])
 
 
 def _json_cells(lines: DataFrame, schema: Schema, unknown: bool) -> DataFrame:
@@ -112,8 +187,92 @@ def jsonl(spark: SparkSession, path: str, schema: Schema, unknown: bool = False)
     return _json_cells(lines.where(F.length(F.trim(F.regexp_replace(RAW, r"\s", ""))) > 0), schema, unknown)
 
 
+def _elements(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The elements of one top-level array per file, as text, in order: read block by block on a mounted file system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        space = re.compile(r"[ \t\n\r]*")
+
+        def elements(f) -> Iterator[str]:
+            text, done, at, state = "", False, 0, "open"
+            while True:
+                at = space.match(text, at).end()
+                if at == len(text) and not done:
+                    pass
+                elif state == "closed":
+                    if at < len(text):
+                        raise ValueError("text after the array")
+                    return
+                elif at == len(text):
+                    raise ValueError("the array doesn't end")
+                elif state == "open":
+                    if text[at] != "[":
+                        raise ValueError("no array")
+                    at, state = at + 1, "first"
+                    continue
+                elif text[at] == "]" and state in ("first", "next"):
+                    at, state = at + 1, "closed"
+                    continue
+                elif state == "next":
+                    if text[at] != ",":
+                        raise ValueError("no comma")
+                    at, state = at + 1, "value"
+                    continue
+                else:
+                    try:
+                        _, end = decoder.raw_decode(text, at)
+                        whole = end < len(text) or done  # a number at the end of a block may go on
+                    except ValueError:
+                        if done:
+                            raise
+                        whole = False
+                    if whole:
+                        yield text[at:end]
+                        at, state = end, "next"
+                        continue
+                more = f.read(max(JSON_CHARS, len(text) - at))  # blocks grow with an element that doesn't fit
+                done = not more
+                text, at = text[at:] + more, 0
+
+        names = [RAW, FILE, BLOCK]
+        for batch in batches:
+            for path, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held, size = [], 0
+                with open(path, encoding="utf-8-sig") as f:
+                    try:
+                        for x in elements(f):
+                            held.append(x)
+                            size += len(x)
+                            if size > JSON_CHARS:
+                                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([told] * len(held)), pa.array([0] * len(held), pa.int64())], names=names)
+                                held, size = [], 0
+                    except ValueError as e:
+                        raise ValueError(f"{path} isn't a JSON array: {e}") from None
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([told] * len(held)), pa.array([0] * len(held), pa.int64())], names=names)
+
+    rows = spark.createDataFrame([(unquote(re.sub("^file:(//)?", "", f)), f) for f in files], "path string, file string")
+    return rows.repartitionByRange(len(files), "file").mapInArrow(run, f"{RAW} string, {FILE} string, {BLOCK} long")
+
+
 def json_array(spark: SparkSession, path: str, schema: Schema, unknown: bool = False) -> DataFrame:
-    """Files that hold one array of objects each; a syntax error fails the whole import."""
+    """Files that hold one array of objects each; a syntax error fails the whole import.
+
+    Files on a mounted file system are streamed, an element at a time; others
+    are values of one row each, which bounds them by an executor's memory.
+    """
+    files = sorted(spark.read.text(path, wholetext=True).inputFiles())
+    if files and all(f.startswith("file:") for f in files):
+        each = _elements(spark, files)
+        try:
+            each.select(F.max(F.length(RAW))).collect()
+        except Exception as e:
+            found = re.search(r"\S+ isn't a JSON array: [^\n]*", str(e))
+            if found is None:
+                raise
+            raise InvalidData(found[0]) from None
+        return _json_cells(each, schema, unknown)
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
     bad = whole.where("v IS NULL OR NOT schema_of_variant(v) LIKE 'ARRAY%'").select(FILE).limit(1).collect()
     if bad:
@@ -164,6 +323,6 @@ def positioned(rows: DataFrame, first: int, name: str) -> DataFrame:
         total += r["n"]
     if not offsets:
         return rows.drop(FILE, BLOCK).withColumn(name, F.lit(None).cast("bigint"))
-    table = rows.sparkSession.createDataFrame(offsets, f"_part int, {FILE} string, {BLOCK} bigint, _from bigint, _first bigint")
-    joined = tagged.join(F.broadcast(table), ["_part", FILE, BLOCK])  # one small row per file split
+    table = lookup(rows.sparkSession, offsets, f"_part int, {FILE} string, {BLOCK} bigint, _from bigint, _first bigint")
+    joined = tagged.join(table, ["_part", FILE, BLOCK])
     return joined.withColumn(name, F.col("_first") + F.col("_at") - F.col("_from")).drop("_part", "_at", "_from", "_first", FILE, BLOCK)

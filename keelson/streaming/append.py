@@ -1,14 +1,17 @@
 """Micro-batches of a stream as delta layers: every batch is one append, published once.
 
-The batch id is kept in the generation's source, so a batch that Spark repeats
-after a failure isn't appended twice.
+The manifest keeps the last batch of every stream beside the rows that came
+with it, so a batch that Spark repeats after a failure isn't appended twice,
+whatever was published or vacuumed since. A rollback takes both back.
 """
 
 from __future__ import annotations
 
 import json
+from contextlib import suppress
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import canonical
@@ -19,28 +22,32 @@ from ..plans.shared import materialised
 from ..schema import ROW_ID, Schema
 
 
-def _seen(catalog: Catalog, tag: str) -> bool:
-    return any(catalog.manifest(g).source == tag for g in catalog.generations())
+def _has(manifest: Manifest | None, stream: str, batch: int) -> bool:
+    return manifest is not None and manifest.streams.get(stream, -1) >= batch
+
+
+class _Repeated(Exception):
+    pass
 
 
 def append_batch(catalog: Catalog, rows: DataFrame, schema: Schema, stream: str, batch: int) -> None:
     """Append string columns named like the schema's as one layer (or as the base of an empty bucket)."""
-    tag = f"stream:{stream}:{batch}"
-    if _seen(catalog, tag):
+    if _has(catalog.manifest() if catalog.current() is not None else None, stream, batch):
         return
-    from pyspark.sql import functions as F
-
+    tag, last = f"stream:{stream}:{batch}", {stream: batch}
     typed = materialised(rows.select(*[canonical.stored(F.col(f"`{c.name}`").cast("string"), c).alias(c.name) for c in schema.columns]))
     if typed.isEmpty():
         return
-    with catalog.begin() as staging:
+    with suppress(_Repeated), catalog.begin() as staging:
+        if _has(staging.base, stream, batch):
+            raise _Repeated  # appended by another run while this one waited
         if staging.base is None:
             path = staging.write(dense_ids(typed))
             n = staging.read(path).count()
             raw = json.loads(schema.to_json())
-            staging.publish(Manifest(0, raw, [Layer(0, path, n, raw)], None, n, n - 1, source=tag))
+            staging.publish(Manifest(0, raw, [Layer(0, path, n, raw)], None, n, n - 1, source=tag, streams=last))
         else:
-            append_layer(catalog, staging, staging.base, typed, schema, tag)
+            append_layer(catalog, staging, staging.base, typed, schema, tag, last)
 
 
 def append_stream(catalog: Catalog, source: DataFrame, schema: Schema, checkpoint: str, name: str = "append") -> StreamingQuery:

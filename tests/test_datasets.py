@@ -2,19 +2,21 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from keelson.errors import ConflictError, InvalidData, InvalidRequest, NotFound
-from keelson.operators import indexes, mutation, telemetry
+from keelson.operators import catalog as catalogs
+from keelson.operators import digests, indexes, mutation, telemetry
 from keelson.operators.buckets import Buckets
 from keelson.operators.catalog import Catalog
 from keelson.operators.mutation import Delete, Insert, Update
 from keelson.plans.request import Eq, In, Range, Request
 from keelson.schema import ROW_ID, Column, Schema
-from keelson.sources import attached, export, imports
-from keelson.streaming.append import append_stream
+from keelson.sources import attached, export, imports, rows
+from keelson.streaming.append import append_batch, append_stream
 
 PEOPLE = Schema((Column("country", normalization="trim_lowercase"), Column("age", "unsigned", normalization="trim"), Column("active", "boolean", normalization="trim_lowercase"), Column("note", "text", True, "trim", ("NULL",))))
 
@@ -138,6 +140,103 @@ def contacts(catalog, tmp_path):
     return catalog
 
 
+def test_headers_by_file(spark, catalog, tmp_path):
+    os.mkdir(tmp_path / "in")
+    write(tmp_path / "in" / "1.csv", "a,b\n1,2\n")
+    write(tmp_path / "in" / "2.csv", "b,a\n4,3\n")
+    write(tmp_path / "in" / "3.csv", '\ufeff"b",a\r\n"6\n6",5\r\n')
+    schema = Schema((Column("a"), Column("b")))
+    imports.import_csv(catalog, str(tmp_path / "in"), schema)
+    assert sorted(r[1:] for r in table(catalog)) == [("1", "2"), ("3", "4"), ("5", "6\n6")]
+    assert sorted(r[0] for r in table(catalog)) == [0, 1, 2]
+    imports.import_external(catalog, str(tmp_path / "in"), schema, "csv")
+    assert sorted(r[1:] for r in table(catalog)) == [("1", "2"), ("3", "4"), ("5", "6\n6")]
+    imports.import_csv(catalog, write(tmp_path / "q.csv", '"a\nline",b\n1,2\n'), Schema((Column("a\nline"), Column("b"))))
+    assert table(catalog) == [(0, "1", "2")]
+    write(tmp_path / "in" / "4.csv", "a,c\n1,2\n")
+    with pytest.raises(InvalidData):
+        imports.import_csv(catalog, str(tmp_path / "in"), schema)
+
+
+def test_large_files_are_split_where_no_record_spans_lines(spark, catalog, tmp_path):
+    os.mkdir(tmp_path / "in")
+    write(tmp_path / "in" / "plain.csv", "a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(900)))
+    write(tmp_path / "in" / "spans.csv", "a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(900, 1800)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = {os.path.basename(f): spans for _, spans, files in rows._groups(spark, str(tmp_path / "in"), None) for f in files}
+        assert found == {"plain.csv": False, "spans.csv": True}
+        imports.import_csv(catalog, str(tmp_path / "in"), Schema((Column("a", "unsigned"), Column("b"))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = catalog.dataset().frame.orderBy(ROW_ID).collect()
+    assert [tuple(r) for r in got] == [(i, i, f'x, "{i}"' if i < 900 else f"x\n{i}") for i in range(1800)]
+
+
+def test_json_array_in_small_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rows, "JSON_CHARS", 7)
+    values = [{"a": "x" * 40, "n": [1, {"b": "]},"}]}, {}, 12.5, "te,xt", None, [[]]]
+    for i, text in enumerate((json.dumps(values), json.dumps(values, indent=2) + "\n ", "[]", " [ 1 ]")):
+        got = [json.loads(r[0]) for r in rows._elements(spark, [f"file://{write(tmp_path / f'{i}.json', text)}"]).collect()]
+        assert got == json.loads(text)
+    for text in ("", "{}", "[1", "[1,]", "[1 2]", "[1] 2", '["a', "[,1]"):
+        with pytest.raises(InvalidData):
+            rows.json_array(spark, write(tmp_path / "bad.json", text), PEOPLE)
+
+
+def test_updates_keep_the_scan_parallel(spark, contacts):
+    view = contacts._view(contacts.manifest()).repartition(3)
+    plan = mutation.patched(view, {0: {"note": "x"}}, CONTACTS)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan
+    plan = mutation.patched(contacts.dataset().frame, {0: {"note": "x"}}, CONTACTS)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(_row_id), EqualTo(_row_id,0)" in plan or "In(_row_id" in plan or "EqualTo(_row_id,0)" in plan
+    many = {i: {"note": "x"} for i in range(mutation.PUSHED_IDS + 1)}
+    assert "LessThanOrEqual(_row_id,1000)" in mutation.patched(contacts.dataset().frame, many, CONTACTS)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_by_executors(contacts, monkeypatch):
+    want = contacts.store.read_json(f"generations/{1:020d}/integrity.json")
+    monkeypatch.setattr(digests, "DRIVER_BYTES", -1)
+    assert contacts.verify()["files"] == len(want)
+    sizes = {f: x["size"] for f, x in want.items()}
+    remote = digests._remote(contacts.spark, contacts.store, sorted(sizes), contacts.store.root)
+    assert {r["file"]: r["sha256"] for r in remote.collect()} == {f: x["sha256"] for f, x in want.items()}
+
+
+def test_locks_of_others(contacts, monkeypatch):
+    contacts.store.create("LOCK", "someone")
+    for work in (lambda: mutation.compact(contacts), contacts.recover):
+        with pytest.raises(ConflictError):
+            work()
+    assert contacts.store.read("LOCK") == "someone"
+    monkeypatch.setattr(catalogs, "STALE", -1.0)
+    assert contacts.recover() == 1 and not contacts.store.exists("LOCK")
+    monkeypatch.setattr(catalogs, "STALE", 600.0)
+    monkeypatch.setattr(catalogs, "BEAT", 0.05)
+    with contacts._locked():
+        first = contacts.store._fs.getFileStatus(contacts.store._p("LOCK")).getModificationTime()
+        time.sleep(0.5)
+        assert contacts.store._fs.getFileStatus(contacts.store._p("LOCK")).getModificationTime() > first
+        contacts.store.delete("LOCK")
+        contacts.store.create("LOCK", "another")
+    assert contacts.store.read("LOCK") == "another"  # only the owner's own lock goes
+
+
+def test_batches_survive_vacuum(spark, catalog):
+    schema = Schema((Column("a", "unsigned"),))
+    frame = lambda *v: spark.createDataFrame([(str(x),) for x in v], "a string")
+    append_batch(catalog, frame(1, 2), schema, "s", 0)
+    for x in "34":
+        mutation.apply(catalog, [Insert({"a": x})])
+    catalog.vacuum(retain=1)
+    append_batch(catalog, frame(1, 2), schema, "s", 0)
+    assert len(table(catalog)) == 4
+    append_batch(catalog, frame(1, 2), schema, "other", 0)
+    append_batch(catalog, frame(9), schema, "s", 1)
+    assert len(table(catalog)) == 7 and catalog.manifest().streams == {"s": 1, "other": 0}
+
+
 def test_mutations(contacts):
     r = mutation.apply(contacts, [Update(0, {"note": None}), Delete(1), Insert({"email": " D@X", "country": "fr", "note": "NULL"}), Update(0, {"country": "IT"})])
     assert (r.inserted_ids, r.visible_rows) == ([3], 3)
@@ -344,6 +443,16 @@ def test_attached(spark, tmp_path):
     assert [(r[ROW_ID], r["Email"]) for r in rows] == [(7, "e7")]
     assert len(a.query(Request(filters=(In("Title", (None, "T'1")),)))[0]) == 7
     assert len(a.query(Request(filters=(Range("Email", "e2", "e25"),)))[0]) == 7
+    ints = [str(tmp_path / f"i{k}") for k in range(2)]
+    for k, p in enumerate(ints):
+        spark.createDataFrame([(k * 3 + i, i % 2 == 0) for i in range(3)], "n int, even boolean").coalesce(1).write.parquet(p)
+    numbers = attached.Attached(spark, ints)
+    page = numbers.page(Request(filters=(Eq("n", "4"), Eq("even", "false")), after_row_id=2))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(n,4)" in plan and "Not(EqualTo(even,true))" in plan and "/i0" not in plan.split("Location", 1)[1].split("PartitionFilters")[0]
+    assert [r["n"] for r in page.collect()] == ["4"]
+    for text in ("04", "+4", "x", "99999999999"):
+        assert numbers.query(Request(filters=(Eq("n", text),)))[0] == []
     assert a.row(26) == {"Email": "e26", "Title": "T'26"} and a.row(27) is None
     with pytest.raises(InvalidRequest):
         a.query(Request(filters=(Eq("x' OR 1=1", "a"),)))
