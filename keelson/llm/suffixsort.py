@@ -13,6 +13,11 @@ A window with its anchor at offset o repeats if another segment agrees in
 width - o bytes from the anchor on and in o bytes before it: both are classes
 of neighbours in sorted order, forwards from the merge and backwards.
 
+``repeats`` can also tell what *another document* has, by the least and the
+greatest document of every class. ``dedup`` reports that for shorter strings,
+of ``SHARED`` bytes, beside what it removes: a passage of little more than 50
+words is often shorter than 400 bytes.
+
 Defined results: a null text is empty; texts shorter than ``width`` bytes keep
 everything; equal rows are copies of each other, so both lose what they share;
 rows without doc_id take part like any other; extra columns are ignored.
@@ -31,12 +36,12 @@ from pyspark.sql import functions as F
 from . import anchors
 from . import textkernel as tk
 from .grouping import apart, block_units
-from .session import cut, ship
+from .session import cut, release, ship
 
 WIDTH, GRAM = 400, 32
+#: What is reported as shared with another document: at least 51 words of five bytes, a space included.
+SHARED = 256
 SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 8 << 20
-#: More shards than this would only cut the runs of a task into crumbs; beyond it shards grow.
-MOST_SHARDS = 100_000
 _HEAD = 16  # bytes of a sort key before the suffix: anchor and work unit
 
 
@@ -126,12 +131,12 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes,
             node //= 2
 
 
-_RUN = "shard int, lcps array<int>, rests array<binary>, seg array<long>, copies array<long>, at array<int>, wins array<int>, back array<binary>"
+_RUN = "shard long, lcps array<int>, rests array<binary>, seg array<long>, copies array<long>, lo array<long>, hi array<long>, at array<int>, wins array<int>, back array<binary>"
 
 
 def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run_bytes: int) -> DataFrame:
     """Sorted, front-coded runs of the wanted suffixes for every shard."""
-    per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "a", "b", "seg", "copies", "start", "wins", "at")).alias("wanted"))
+    per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "a", "b", "seg", "copies", "lo", "hi", "start", "wins", "at")).alias("wanted"))
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort()
@@ -142,9 +147,9 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
                 b += 1
             part = held[a:b]
             lcps, rests = front_code([x[1] for x in part])
-            columns = [[part[0][0]], [lcps], [rests], *([[x[i] for x in part]] for i in range(2, 7))]
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-            names = ["shard", "lcps", "rests", "seg", "copies", "at", "wins", "back"]
+            columns = [[part[0][0]], [lcps], [rests], *([[x[i] for x in part]] for i in range(2, 9))]
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+            names = ["shard", "lcps", "rests", "seg", "copies", "lo", "hi", "at", "wins", "back"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
             a = b
 
@@ -165,7 +170,7 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
                     middle = start + at
                     tail = text[middle : start + x["wins"] - 1 + width]
                     shard = (anchor ^ x["a"] * 0x9E3779B1 ^ x["b"] * 0x85EBCA77) % shards
-                    held.append((shard, head + tail, x["seg"], x["copies"], at, x["wins"], text[start:middle][::-1]))
+                    held.append((shard, head + tail, x["seg"], x["copies"], x["lo"], x["hi"], at, x["wins"], text[start:middle][::-1]))
                     size += len(tail) + at + 100
                 if size > run_bytes:
                     yield from emit(held)
@@ -177,14 +182,16 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
     return joined.mapInArrow(run, _RUN)
 
 
-def repeated_windows(lcp: np.ndarray, unit: np.ndarray, back: list[bytes], at: np.ndarray, wins: np.ndarray, copies: np.ndarray, width: int) -> np.ndarray:
+def repeated_windows(lcp: np.ndarray, unit: np.ndarray, back: list[bytes], at: np.ndarray, wins: np.ndarray, copies: np.ndarray, width: int, docs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which windows of which segments repeat: a matrix, segments in sorted order.
 
-    lcp: common prefix with the suffix before, 0 where a unit begins.
+    lcp: common prefix with the suffix before, 0 where a unit begins. docs: the
+    least and the greatest document of each segment; then only windows that two
+    documents have count.
     """
     m = len(lcp)
     flags = np.zeros((m, int(wins.max(initial=0))), dtype=bool)
-    flags[copies > 1] = True
+    flags[(copies > 1) if docs is None else docs[0] < docs[1]] = True
     order = sorted(range(m), key=lambda i: (unit[i], back[i]))
     reverse = np.zeros(m, dtype=np.int64)
     for k in range(1, m):
@@ -206,17 +213,21 @@ def repeated_windows(lcp: np.ndarray, unit: np.ndarray, back: list[bytes], at: n
         behind[order] = np.cumsum(fresh_back | (reverse < o))
         key = ahead[active] * np.int64(m + 1) + behind[active]
         by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        hit = np.zeros(len(by), dtype=bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        i = active[by[hit]]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = key[by][1:] != key[by][:-1]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(by)))
+        if docs is None:
+            several = size > 1
+        else:
+            several = np.minimum.reduceat(docs[0][active[by]], begin) < np.maximum.reduceat(docs[1][active[by]], begin)
+        i = active[by[np.repeat(several, size)]]
         flags[i, at[i] - o] = True
     return flags
 
 
-def _merge_shards(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ("seg", "copies", "at", "wins", "back")
+def _merge_shards(width: int, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ("seg", "copies", "lo", "hi", "at", "wins", "back")
 
     def resolve(runs: list[dict]) -> Iterator[pa.RecordBatch]:
         merged = merge_runs([decode_run(r["lcps"], r["rests"]) for r in runs])
@@ -244,9 +255,9 @@ def _merge_shards(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         new = np.ones(len(raw), dtype=bool)
         new[1:] = (raw[1:] != raw[:-1]).any(axis=1)
         unit = np.cumsum(new)
-        lcp, at, wins, copies = (np.array(x, dtype=np.int64) for x in (lcps, fields["at"], fields["wins"], fields["copies"]))
+        lcp, at, wins, copies, lo, hi = (np.array(x, dtype=np.int64) for x in (lcps, *(fields[n] for n in ("at", "wins", "copies", "lo", "hi"))))
         lcp[new] = 0
-        flags = repeated_windows(lcp, unit, fields["back"], at, wins, copies, width)
+        flags = repeated_windows(lcp, unit, fields["back"], at, wins, copies, width, (lo, hi) if across else None)
         flags &= np.arange(flags.shape[1]) < wins[:, None]
         edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         i, off = np.nonzero(edge == 1)
@@ -272,29 +283,49 @@ def _merge_shards(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """doc, rid and ``spans`` (first byte, end) of what repeated strings cover; texts without any are absent."""
+def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES, across: bool = False) -> DataFrame:
+    """doc, rid and ``spans`` (first byte, end) of what repeated strings cover; texts without any are absent.
+
+    across: only strings that another document, by doc_id, has too.
+    """
     ship(docs.sparkSession)
     found = cut(anchors.find(docs, width, gram, "bytes"))
     every = found.select("doc", "rid", F.inline("segments"))
-    common = apart(every, ["anchor"], F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = F.min("doc") < F.max("doc") if across else F.count("*") > 1
+    common = apart(every, ["anchor"], often.alias("often")).where("often").select("anchor")
     each = cut(every.join(common, "anchor", "left_semi"))
-    distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "rid", "start", "wins", "at")).alias("one"))
+    distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "rid", "start", "wins", "at")).alias("one"))
     cost = F.col("wins") + F.lit(width - 1)
-    wanted = cut(block_units(distinct.select("anchor", "seg", "copies", "one.*"), ["anchor"], F.col("seg"), cost, block_bytes).select("*", "unit.a", "unit.b").drop("unit"))
+    wanted = cut(block_units(distinct.select("anchor", "seg", "copies", "lo", "hi", "one.*"), ["anchor"], F.col("seg"), cost, block_bytes).select("*", "unit.a", "unit.b").drop("unit"))
     total = wanted.agg(F.sum(cost)).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
+    shards = max(1, -(-total // shard_bytes))
     runs = _make_runs(anchors.texts(docs), wanted, width, shards, run_bytes)
-    windows = runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(width), "anchor long, seg long, off int, many int")
+    windows = runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(width, across), "anchor long, seg long, off int, many int")
     first = F.col("start") + F.col("off")
     hit = each.join(windows, ["anchor", "seg"])
     return hit.select("doc", "rid", F.struct(first.alias("first"), (first + F.col("many") + F.lit(width - 1)).cast("int").alias("stop")).alias("span")).groupBy("doc", "rid").agg(F.collect_list("span").alias("spans"))
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: bool = False, **sizes: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes) of every row of ``docs``."""
-    joined = anchors.texts(docs).join(repeats(docs, width, gram, **sizes), ["doc", "rid"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+def _covered(spans: pa.ListArray, first: np.ndarray) -> np.ndarray:
+    """Which bytes of a slice of texts, whose first bytes are given, lie in their spans."""
+    step = np.zeros(first[-1] + 1, dtype=np.int32)
+    flat, base = spans.flatten(), np.repeat(first[:-1], spans.value_lengths().fill_null(0).to_numpy())
+    if len(flat):
+        np.add.at(step, flat.field("first").to_numpy() + base, 1)
+        np.add.at(step, flat.field("stop").to_numpy() + base, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: bool = False, shared: int = SHARED, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (and ``kept``, the remaining bytes) of every row of ``docs``.
+
+    n_shared: bytes, before any are removed, in strings of ``shared`` bytes that
+    another document has.
+    """
+    near = cut(repeats(docs, shared, gram, across=True, **sizes).withColumnRenamed("spans", "shared"))
+    release(docs.sparkSession)
+    joined = anchors.texts(docs).join(repeats(docs, width, gram, **sizes), ["doc", "rid"], "left").join(near, ["doc", "rid"], "left").select("doc_id", "text", "spans", "shared")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * with_bytes
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +333,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: boo
             data, offsets = tk.text_buffer(batch.column(1))
             for a, b in tk.slices(offsets, 1 << 20):
                 part, first = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                rows = batch.column(2).slice(a, b - a)
-                flat, base = rows.flatten(), np.repeat(first[:-1], rows.value_lengths().fill_null(0).to_numpy())
-                step = np.zeros(len(part) + 1, dtype=np.int32)
-                if len(flat):
-                    np.add.at(step, flat.field("first").to_numpy() + base, 1)
-                    np.add.at(step, flat.field("stop").to_numpy() + base, -1)
-                gone = np.cumsum(step)[: len(part)] > 0
+                gone = _covered(batch.column(2).slice(a, b - a), first)
                 start = gone.copy()
                 start[1:] &= ~gone[:-1]
                 inner = first[(first > 0) & (first < len(part))]
@@ -317,9 +342,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: boo
                 kept, removed = part[~gone], count(gone)
                 cuts = np.concatenate([[0], np.cumsum(np.diff(first) - removed)])
                 texts = [kept[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(count(start), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(count(start), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(count(_covered(batch.column(3).slice(a, b - a), first)), pa.int64())]
                 if with_bytes:
                     columns.append(pa.array(texts, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"] + ["kept"] * with_bytes)
 
     return joined.mapInArrow(run, schema)

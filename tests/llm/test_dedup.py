@@ -33,11 +33,13 @@ def brute_words(rows, width):
     return Counter(out)
 
 
-def brute_bytes(rows, width):
-    count = Counter()
-    for _, t in rows:
+def brute_bytes(rows, width, shared):
+    count, owners = Counter(), defaultdict(set)
+    for d, t in rows:
         b = (t or "").encode()
         count.update(b[i : i + width] for i in range(len(b) - width + 1))
+        for i in range(len(b) - shared + 1):
+            owners[b[i : i + shared]].add(d)
     out = []
     for d, t in rows:
         b = (t or "").encode()
@@ -46,8 +48,9 @@ def brute_bytes(rows, width):
             if count[b[i : i + width]] > 1:
                 gone.update(range(i, i + width))
         spans = sum(i - 1 not in gone for i in gone)
+        both = {j for i in range(len(b) - shared + 1) if len(owners[b[i : i + shared]]) > 1 for j in range(i, i + shared)}
         kept = bytes(x for i, x in enumerate(b) if i not in gone)
-        out.append((d, len(b), len(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), len(gone), spans, hashlib.sha256(kept).hexdigest(), len(both)))
     return Counter(out)
 
 
@@ -91,8 +94,8 @@ def test_words(frame, seed, block, monkeypatch):
 @pytest.mark.parametrize("seed,block", [(0, 10**6), (2, 300)])
 def test_bytes(frame, seed, block):
     rows = corpus(seed, 10)
-    got = suffixsort.dedup(frame(rows), 40, 8, shard_bytes=3000, block_bytes=block, run_bytes=2000).collect()
-    assert Counter(map(tuple, got)) == brute_bytes(rows, 40)
+    got = suffixsort.dedup(frame(rows), 40, 8, shared=24, shard_bytes=3000, block_bytes=block, run_bytes=2000).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 40, 24)
 
 
 def test_empty(frame):
