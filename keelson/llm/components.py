@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import apart
 from .session import cut
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """Every node with each neighbour and the least of itself and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = apart(edges, ["u"], F.min("v").alias("m")).withColumn("m", F.least("m", "u"))  # a hub's links can be split
     return edges.join(least, "u")
 
 

@@ -8,7 +8,9 @@ wavelet matrix, all in step; occurrences are located by sampled suffix
 positions and merged into removal spans.
 
 The benchmark reaches the workers in blocks of at most ``BLOCK_CHARS``
-characters, one pass over the corpus for each block. Every block is searched in
+characters, one pass over the corpus for each block. All its windows pass
+through the driver, which holds them until the plan is made: a benchmark is
+taken to fit there (some 200 bytes for each of its words). Every block is searched in
 the untouched texts; ``clean`` judges and cuts by the hits of all of them.
 
 Defined results: a null or empty text has no words and is clean; a benchmark

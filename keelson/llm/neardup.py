@@ -239,7 +239,11 @@ def near_duplicates(docs: DataFrame, words: int, percent: int, block_shingles: i
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, its least doc_id; equal rows count once."""
+    """``docs`` with one row of each group of near-duplicates, its least doc_id.
+
+    Rows with equal doc_id and text count once; where they differ in other
+    columns, any one of them stays.
+    """
     names = docs.columns
     verdict = near_duplicates(docs, words, percent).where("kept").select(F.col("doc").alias("_keelson_doc"), F.col("rid").alias("_keelson_rid")).distinct()
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))

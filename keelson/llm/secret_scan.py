@@ -1,17 +1,23 @@
 """Secret scans: a random forest over candidate features removes false positives.
 
-Candidates are runs of token characters. Features describe a candidate's
+Candidates are runs of 16 or more token characters (letters, digits, ``+/_-``,
+and ``=`` at the end). Shorter secrets, and those with other characters, such
+as most passwords people choose, are never seen: telling them from words needs
+other features than these. Features describe a candidate's
 length, its character transitions, how much of it dictionary words cover, its
 path and the words around it. The forest is trained by Spark's own library on
 labelled findings and then compiled into column expressions, so a scan is one
 projection without shuffle or user functions.
 
-Training takes at most ``TRAINING_ROWS`` labelled findings (a documented bound);
+Training takes at most ``TRAINING_ROWS`` labelled findings (a documented bound),
+of a larger table those with the least hashes, so that the same findings give
+the same forest whatever their order;
 scanning covers every whole text. Findings can be given; otherwise a labelled
 set is generated by SQL expressions from fixed templates.
 
 Defined results: a null or empty text has no findings; offsets count code
-points; repeated rows are scanned one by one; documents without a path column
+points; a score equal to the threshold is a secret; repeated rows are scanned
+one by one; documents without a path column
 have an empty path; ``redact`` passes extra columns through.
 """
 
@@ -151,7 +157,9 @@ def train(findings: DataFrame, rows: int = TRAINING_ROWS) -> Forest:
     from pyspark.ml.feature import VectorAssembler
 
     f = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
-    numbers = findings.limit(rows).select("label", *[f[n].alias(n) for n in NAMES])
+    own = ("candidate", "left", "right", "path", "label")
+    picked = findings.select(*own).orderBy(F.xxhash64(*own), *own).limit(rows)
+    numbers = picked.select("label", *[f[n].alias(n) for n in NAMES])
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(numbers)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(vectors)
     return compiled([_tree(t.toDebugString) for t in forest.trees])

@@ -10,18 +10,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import shared_folder
+
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        told = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, one machine gets a folder of its own and a cluster an error."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import apart
 from .session import cut
 
 DAMPING, ROUNDS, THRESHOLD, CHECKPOINT_EVERY = 0.85, 12, 0.5, 4  # ROUNDS: of the SQL only
@@ -84,7 +85,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, error: float = 1e-6, damping:
     score can be off by more than ``error``: after k rounds that is damping^k
     at most, or less by what the last rounds have changed.
     """
-    total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    total = apart(edges, ["kind", "src"], F.sum("weight").alias("total"))
     step = cut(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     share = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = cut(seeds.join(F.broadcast(share), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")))  # one row per kind
@@ -95,7 +96,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, error: float = 1e-6, damping:
     for k in range(math.ceil(math.log(error) / math.log(damping))):
         moved = score.join(step, (score["kind"] == step["kind"]) & (score["host"] == step["src"])).select(score["kind"], F.col("dst").alias("host"), (F.col("score") * F.col("p") * F.lit(damping)).alias("score"))
         kept = start.select("kind", "host", (F.col("mass") * F.lit(1 - damping)).alias("score"))
-        score = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = apart(moved.unionByName(kept), ["kind", "host"], F.sum("score").alias("score"))  # the next join can split a hub's links
         if (k + 1) % CHECKPOINT_EVERY == 0:
             score = cut(score)
             both = score.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("change"))
