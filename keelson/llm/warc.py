@@ -4,22 +4,31 @@ Writing: one gzip member per record; the member's extra field ``sl`` tells the
 compressed and plain lengths, so a reader can step over a record without
 inflating it. A task writes its files under names of its own and they count
 only once they are in the manifest of a committed job, so a lost and repeated
-task leaves nothing behind that is read.
-
-Reading: archive files are the partitions, in groups of bounded size. Filters
-on header columns (equality, membership, null tests) are pushed down: headers
-are inflated first, and a record that fails a filter, or whose payload isn't
-asked for (option ``payload=false``), is stepped over.
+task leaves nothing behind that is read, and jobs that write to one folder at
+the same time don't meet.
+
+Reading: a folder's archives, or one file. Besides what was written here, all
+``.warc`` and ``.warc.gz`` files count: plain ones, with a gzip member per
+record, or compressed as a whole. Files are the partitions, in groups of
+bounded size; one file is read by one task. Filters on header columns
+(equality, membership, null tests) are pushed down: headers are read first, and
+a record that fails a filter, or whose payload isn't asked for (option
+``payload=false``), is stepped over: by a seek in plain files and by its length
+in files written here; other compressed bytes have to be inflated, but nothing
+is kept of them.
 
 Defined results: a null payload is empty; a record without payload has a
 zero-length one; header values are kept on one line (CR and LF are
-percent-encoded, and stay so when read).
+percent-encoded, and stay so when read). The payload of an HTTP message is what
+follows its head, as it was sent; of other records, the whole block. A file
+that ends inside a record is an error.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,10 +45,12 @@ from .session import checkpoint_dir, ship
 
 SMALLEST = 100
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 64 << 20, 32 << 20, 4 << 20
-MANIFEST = "_archives.json"
+MANIFEST, OWN = r"_archives.*\.json", r"[0-9a-f]{12}-[0-9a-f]{12}-[0-9]{5}\.warc\.gz"
+HEAD_BYTES = 1 << 16
 HEADERS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_length")
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length long, payload binary"
 _FIELDS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_length": "X-Payload-Length"}
+_NAMES = {v.lower(): v for v in (*_FIELDS.values(), "Content-Length", "Content-Type")}  # header names don't mind their case
 
 
 class Files:
@@ -71,6 +82,14 @@ class Files:
             return os.path.exists(self.path(name))
         return self.fs.get_file_info(self.path(name)).is_file
 
+    def list(self) -> dict[str, int]:
+        """Sizes of the folder's files by name."""
+        if self.fs is None:
+            return {e.name: e.stat().st_size for e in os.scandir(self.root) if e.is_file()} if os.path.isdir(self.root) else {}
+        from pyarrow import fs
+
+        return {i.base_name: i.size for i in self.fs.get_file_info(fs.FileSelector(self.root, allow_not_found=True)) if i.is_file}
+
     def remove(self, name: str) -> None:
         if self.exists(name):
             os.remove(self.path(name)) if self.fs is None else self.fs.delete_file(self.path(name))
@@ -84,9 +103,12 @@ def member(record: bytes) -> bytes:
     """One gzip member with the lengths of itself and of the record."""
     c = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = c.compress(record) + c.flush()
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
     total = 12 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    if max(total, len(record)) >= 1 << 32:  # the field has 32 bits; without it the record is inflated when it is passed
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    extra = b"sl" + struct.pack("<HII", 8, total, len(record))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + tail
 
 
 def record(fields: dict[str, str | None], payload: bytes, when: str) -> bytes:
@@ -135,10 +157,8 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files = Files(self.folder)
-        listed = json.loads(files.read(MANIFEST).read()) if files.exists(MANIFEST) else []
-        listed += [f for m in messages if m is not None for f in m.files]
-        with files.write(MANIFEST) as f:
+        listed = [f for m in messages if m is not None for f in m.files]
+        with Files(self.folder).write(f"_archives-{self.job}.json") as f:
             f.write(json.dumps(listed).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -153,50 +173,157 @@ class _Archives(InputPartition):
     names: list[str]
 
 
+class _Plain:
+    """Bytes of a file in order, with a look ahead; what isn't wanted is passed by a seek."""
+
+    def __init__(self, f):
+        self.f, self.held = f, b""
+
+    def _more(self) -> bytes:
+        return self.f.read(1 << 16)
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """Bytes up to and with ``mark``, or None if it isn't among the next ``most``."""
+        while mark not in self.held and len(self.held) < most:
+            more = self._more()
+            if not more:
+                break
+            self.held += more
+        at = self.held.find(mark)
+        return None if at < 0 else self.read(at + len(mark))
+
+    def read(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            more = self._more()
+            if not more:
+                raise EOFError("the archive ends inside a record")
+            parts.append(more)
+            have += len(more)
+        data = b"".join(parts) if len(parts) > 1 else parts[0]
+        self.held = data[n:]
+        return data[:n]
+
+    def skip(self, n: int) -> None:
+        passed = min(n, len(self.held))
+        self.held = self.held[passed:]
+        if n > passed:
+            at = self.f.tell() + n - passed
+            self.f.seek(0, os.SEEK_END)
+            if self.f.tell() < at:
+                raise EOFError("the archive ends inside a record")
+            self.f.seek(at)
+
+    def at_end(self) -> bool:
+        """Whether only line breaks are left."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                return False
+            self.held = self._more()
+            if not self.held:
+                return True
+
+
+class _Inflated(_Plain):
+    """The same of gzip members, one after the other."""
+
+    def __init__(self, f):
+        super().__init__(f)
+        self.z, self.raw = zlib.decompressobj(31), b""
+
+    def _more(self) -> bytes:
+        while True:
+            if self.z.eof:
+                self.raw = self.z.unused_data.lstrip(b"\0")
+                self.z = zlib.decompressobj(31)
+            raw = self.raw or self.f.read(1 << 16)
+            self.raw = b""
+            if not raw:
+                return b""
+            got = self.z.decompress(raw)
+            if got:
+                return got
+
+    def skip(self, n: int) -> None:
+        while n:
+            n -= len(self.read(min(n, 1 << 20)))
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    lines = (x.split(":", 1) for x in head.decode("utf-8", "replace").splitlines()[1:] if ":" in x)
+    return {_NAMES.get(k.strip().lower(), k.strip()): v.strip() for k, v in lines}
+
+
 class Stream:
-    """Members of one archive, header first."""
+    """Records of one archive, headers first."""
 
     def __init__(self, f):
         self.f = f
 
     def records(self, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-        f = self.f
-        while True:
-            start = f.tell()
-            fixed = f.read(12)
-            if len(fixed) < 12:
+        magic = self.f.read(2)
+        self.size = self.f.seek(0, os.SEEK_END)
+        self.f.seek(0)
+        if magic != b"\x1f\x8b":
+            yield from self._sequence(_Plain(self.f), wanted, with_payload)
+            return
+        while (length := self._own()) is not None:
+            if not length:
                 return
-            extra = f.read(struct.unpack("<H", fixed[10:])[0]) if fixed[3] & 4 else b""
-            length = struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" else None
-            z = zlib.decompressobj(-15)
-            if length is not None:
-                left = length - 12 - len(extra)
-                raw = f.read(min(left, 1024))
-            else:
-                f.seek(start + 10 + (2 + len(extra) if fixed[3] & 4 else 0))
-                left, raw = None, f.read(1024)
-            got = z.decompress(raw)
-            read = len(raw)
-            while b"\r\n\r\n" not in got and not z.eof:
-                raw = f.read(1024)
-                read += len(raw)
-                got += z.decompress(raw)
-            head, _, rest = got.partition(b"\r\n\r\n")
-            headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
+            yield from self._member(length, wanted, with_payload)
+        yield from self._sequence(_Inflated(self.f), wanted, with_payload)
+
+    def _own(self) -> int | None:
+        """The length of the next member, 0 at the end, or None if it doesn't tell."""
+        start = self.f.tell()
+        fixed = self.f.read(12)
+        extra = self.f.read(struct.unpack("<H", fixed[10:])[0]) if len(fixed) == 12 and fixed[3] == 4 else b""
+        self.f.seek(start)
+        if not fixed:
+            return 0
+        return struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" and len(extra) == 12 else None
+
+    def _member(self, length: int, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """The record of a member of known length: no more than its first bytes are inflated for the headers."""
+        f, start = self.f, self.f.tell()
+        if start + length > self.size:
+            raise EOFError("the archive ends inside a record")
+        z, read, got = zlib.decompressobj(31), 0, b""
+        while b"\r\n\r\n" not in got and not z.eof:
+            raw = f.read(min(length - read, 1024))
+            read += len(raw)
+            got += z.decompress(raw)
+        head, _, rest = got.partition(b"\r\n\r\n")
+        headers = _headers(head)
+        keep = wanted(headers)
+        payload = None
+        if keep and with_payload:
+            block = (rest + z.decompress(f.read(length - read)) + z.flush())[: int(headers["Content-Length"])]
+            payload = block.partition(b"\r\n\r\n")[2]
+        f.seek(start + length)
+        if keep:
+            yield headers, payload
+
+    def _sequence(self, source: _Plain, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """Records one after the other, whoever wrote them."""
+        while not source.at_end():
+            head = source.until(b"\r\n\r\n", HEAD_BYTES)
+            if head is None or not head.startswith(b"WARC/"):
+                raise ValueError("no WARC record where one should begin")
+            headers = _headers(head)
+            left = int(headers["Content-Length"])
+            if headers.get("Content-Type", "").lower().startswith("application/http"):
+                source.until(b"\0" * 9, min(left, HEAD_BYTES))  # looks ahead
+                at = source.held[:left].find(b"\r\n\r\n", 0, HEAD_BYTES)
+                if at >= 0:
+                    source.skip(at + 4)
+                    left -= at + 4
+            headers.setdefault("X-Payload-Length", str(left))
             keep = wanted(headers)
-            payload = None
-            if (keep and with_payload) or left is None:
-                parts = [rest]
-                while not z.eof:
-                    raw = f.read(left - read if left is not None else 1 << 16)
-                    if not raw:
-                        break
-                    read += len(raw)
-                    parts.append(z.decompress(raw))
-                if keep and with_payload:
-                    block = b"".join(parts)[: int(headers["Content-Length"])]
-                    payload = block.partition(b"\r\n\r\n")[2]
-            f.seek(start + length if length is not None else f.tell() - len(z.unused_data) + 8)
+            payload = source.read(left) if keep and with_payload else None
+            if payload is None:
+                source.skip(left)
             if keep:
                 yield headers, payload
 
@@ -224,7 +351,9 @@ def _test(f: Filter):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.folder, self.only = options["path"], None
+        if self.folder.endswith((".warc", ".warc.gz")):
+            self.folder, _, self.only = self.folder.rpartition("/")
         self.payload = options.get("payload", "true").lower() == "true"
         self.tests: list = []
 
@@ -236,10 +365,21 @@ class WarcReader(DataSourceReader):
             else:
                 self.tests.append(test)
 
-    def partitions(self) -> list[InputPartition]:
+    def _files(self) -> dict[str, int]:
+        """Sizes of the archives by name: what committed jobs wrote here, and any other."""
         files = Files(self.folder)
+        found = files.list()
+        archives = {n: size for n, size in found.items() if n.endswith((".warc", ".warc.gz")) and not re.fullmatch(OWN, n)}
+        for name in found:
+            if re.fullmatch(MANIFEST, name):
+                archives |= dict(json.loads(files.read(name).read()))
+        return archives
+
+    def partitions(self) -> list[InputPartition]:
+        if self.only is not None:
+            return [_Archives([self.only])]
         out, held, size = [], [], 0
-        for name, length in json.loads(files.read(MANIFEST).read()):
+        for name, length in sorted(self._files().items()):
             if held and size + length > PARTITION_BYTES:
                 out.append(_Archives(held))
                 held, size = [], 0

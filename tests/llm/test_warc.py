@@ -85,6 +85,52 @@ def test_plain_gzip_members():
     assert [p for _, p in warc.Stream(io.BytesIO(data)).records(lambda h: True, True)] == bodies
 
 
+def foreign(i, body, kind="response"):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" if kind == "response" else b""
+    media = b"application/http; msgtype=response" if kind == "response" else b"application/warc-fields"
+    block = http + body
+    return b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Record-ID: <urn:uuid:%d>\r\nWARC-Target-URI:http://h/%d\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), i, i, media, len(block), block)
+
+
+def test_archives_of_others(spark, tmp_path):
+    bodies = [b"", b"a\r\n\r\nb", b"x" * 300_000, "é".encode() * 70_000, random.Random(1).randbytes(200_000), b"WARC/1.0\r\n\r\n"]
+    records = [foreign(0, b"software: x\r\n", "warcinfo")] + [foreign(i + 1, b) for i, b in enumerate(bodies)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    with gzip.GzipFile(tmp_path / "named.warc.gz", "wb") as f:
+        f.write(b"".join(records))
+    (tmp_path / "notes.txt").write_text("no archive")
+    (tmp_path / f"{'0' * 12}-{'1' * 12}-00000.warc.gz").write_bytes(b"left behind by a lost task")
+    own = spark.createDataFrame([(77, "u", "own" * 50)], "page_id long, url string, html string")
+    for _ in range(2):
+        warc.archive(own, str(tmp_path))  # two jobs, two manifests
+    df = warc.read(spark, str(tmp_path))
+    got = df.where("record_type = 'response' AND record_id != '<urn:page:77>'").collect()
+    assert sorted((r.record_id, r.target_uri, bytes(r.payload), r.payload_length) for r in got) == sorted((f"<urn:uuid:{i + 1}>", f"http://h/{i + 1}", b, len(b)) for i, b in enumerate(bodies) for _ in range(4))
+    assert df.where("record_type = 'warcinfo'").count() == 4 and df.where("record_id = '<urn:page:77>'").count() == 2
+    assert {bytes(r.payload) for r in df.where("record_type = 'warcinfo'").collect()} == {b"software: x\r\n"}
+    one = warc.read(spark, str(tmp_path / "plain.warc"), payload=False)
+    assert [(r.payload_length, r.payload) for r in one.where("record_id = '<urn:uuid:3>'").collect()] == [(300_000, None)]
+    assert "PushedFilters: [EqualTo" in df.where("record_id = 'x'")._jdf.queryExecution().executedPlan().toString() or "record_id" in df.where("record_id = 'x'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_archives_are_passed_by_seeks():
+    data = b"".join(foreign(i, random.Random(i).randbytes(1_000_000)) for i in range(5))
+    Counting.bytes_read = 0
+    assert len(list(warc.Stream(Counting(data)).records(lambda h: True, False))) == 5
+    assert Counting.bytes_read < len(data) / 5
+
+
+@pytest.mark.parametrize("cut", [10, 200, 5000])
+def test_cut_archives_are_errors(cut):
+    data = foreign(1, b"x" * 20_000)
+    for raw in (data[:-cut], gzip.compress(data[:-cut]), warc.member(record(1, b"y" * 20_000))[:-60]):
+        if cut > 10 or raw[:2] == b"\x1f\x8b" and raw[3] == 4:
+            with pytest.raises((EOFError, ValueError)):
+                list(warc.Stream(io.BytesIO(raw)).records(lambda h: True, True))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.digests(warc.read(spark, warc.archive(df))).collect() == []
