@@ -9,7 +9,11 @@ with the sorted token spans.
 
 Turns arrive sorted and are handled as a stream. A conversation longer than
 ``PIECE_CHARS`` is put out in several pieces, cut between turns, so one that
-holds a third of all rows needs no more memory than others.
+holds a third of all rows needs no more memory than others. The pieces are
+exactly the parts of the whole: a cut lies between two special tokens, which the
+tokenizer splits off before anything else, so the tokens, offsets and masks of
+the pieces, one after the other, are those of the whole conversation encoded at
+once.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; a null
 role or text is empty; rows without conv_id form one conversation without id;

@@ -36,6 +36,23 @@ def test_mask_is_the_assistant_texts(turns):
     assert got == [t for r, t in turns if r == "assistant" and t]
 
 
+def test_pieces_are_the_whole(spark):
+    """However a long conversation is cut between turns, its tokens, offsets and masks are those of one encoding."""
+    path = public.path("byte_bpe_50k.json")
+    turns = [("assistant" if i % 2 else "user", text) for i, text in enumerate(["", " lead", "tail ", "  ", "\n\n", "it's", "ab" * 40, "\\", "<s>", "é𝄞 ", "123 456", "x"] * 4)]
+    text, spans = chat.render(turns)
+    e = chat.tokenizer(path).encode(text, add_special_tokens=False)
+    at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+    want = (text, e.ids, at[:, 0].tolist(), at[:, 1].tolist(), chat.loss_mask(at[:, 0], at[:, 1], spans).tolist())
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for size in (1, 7, 60, 300, 10**6):
+        rows = chat.format_conversations(df, path, size).orderBy("piece").collect()
+        assert (len(rows) == 1) == (size == 10**6)
+        base = np.cumsum([0, *[len(r.formatted) for r in rows]]).tolist()
+        joined = lambda name, add=False: [x + b * add for r, b in zip(rows, base, strict=False) for x in r[name]]
+        assert ("".join(r.formatted for r in rows), joined("ids"), joined("starts", True), joined("ends", True), joined("loss")) == want
+
+
 def brute(rows):
     out = {}
     for conv, turn, role, text in rows:
