@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 WINDOW = 8
 
 # Frequent function words of the corpus' four languages.
@@ -59,11 +59,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
-    return F.filter(F.split(text, SPACE), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def _window_hashes(words: Column) -> Column:
+    """A hash for each window of eight words, from those of its halves: every word is hashed once, however long the window."""
+
+    def doubled(hashes: Column, step: int) -> Column:
+        def of(h: Column) -> Column:
+            many = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(F.slice(h, 1, many), F.slice(h, step + 1, many), lambda x, y: F.xxhash64(x, y))
+
+        return let(hashes, of)
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    step = 1
+    while step < WINDOW:
+        hashes, step = doubled(hashes, step), 2 * step
+    return hashes
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words that lie in a window of eight words found twice or more in the text."""
+    """Words that lie in a window of eight words found twice or more in the text.
+
+    Most texts have no such window, which shows in the number of distinct
+    hashes. In the others, windows with equal hashes are neighbours once they
+    are sorted, and their words are compared.
+    """
 
     def covered(starts: Column) -> Column:
         # starts is ascending: each window adds what the one before it leaves uncovered
@@ -77,26 +99,18 @@ def _repeat_words(words: Column) -> Column:
         )
 
     def repeated(keys: Column) -> Column:
-        # keys: sorted (hash, second hash, start); a start repeats if a neighbour has the same window
-        def same(i: Column, j: Column) -> Column:
-            a, b = F.get(keys, i), F.get(keys, j)
-            return F.coalesce((a["h"] == b["h"]) & (a["g"] == b["g"]), F.lit(False))
+        def same(x: Column, y: Column) -> Column:
+            return F.coalesce((x["h"] == y["h"]) & (F.slice(words, x["i"], WINDOW) == F.slice(words, y["i"], WINDOW)), F.lit(False))
 
-        hits = F.filter(keys, lambda x, i: same(i, i - 1) | same(i, i + 1))
+        hits = F.filter(keys, lambda x, k: same(x, F.get(keys, k - 1)) | same(x, F.get(keys, k + 1)))
         return F.sort_array(F.transform(hits, lambda x: x["i"]))
 
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - WINDOW + 1),
-        lambda i: let(
-            F.slice(words, i, WINDOW),
-            lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), i.alias("i")),
-        ),
-    )
-    total = let(
-        F.sort_array(windows),
-        lambda keys: let(repeated(keys), lambda s: F.when(F.size(s) > 0, covered(s)).otherwise(F.lit(0).cast("long"))),
-    )
-    return F.when(F.size(words) > WINDOW, total).otherwise(F.lit(0).cast("long"))
+    def total(hashes: Column) -> Column:
+        keys = F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), (k + 1).alias("i"))))
+        whole = let(keys, lambda x: let(repeated(x), lambda s: F.when(F.size(s) > 0, covered(s)).otherwise(F.lit(0).cast("long"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), whole).otherwise(F.lit(0).cast("long"))
+
+    return F.when(F.size(words) > WINDOW, let(_window_hashes(words), total)).otherwise(F.lit(0).cast("long"))
 
 
 def _features(text: Column) -> Column:
@@ -105,9 +119,9 @@ def _features(text: Column) -> Column:
 
     def of(words: Column) -> Column:
         joined = F.array_join(words, "")
-        lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-        symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-        stops = F.size(F.filter(words, lambda w: F.lower(w).isin(stop)))
+        lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+        symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
+        stops = F.size(F.filter(F.split(F.lower(text), SPACE), lambda w: w.isin(stop)))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(joined).cast("long").alias("word_chars"),
