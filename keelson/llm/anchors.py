@@ -22,7 +22,7 @@ from .session import ship
 
 #: A fixed random value for each byte.
 _BYTE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FOUND = "doc long, rid long, segments array<struct<anchor:long,seg:long,start:int,wins:int,at:int>>"
+_FOUND = "doc long, rid long, segments array<struct<anchor:long,seg:long,start:int,wins:int,at:int,wide:int>>"
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -36,13 +36,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), doc.alias("doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"), docs["text"].cast("string").alias("text"))
 
 
-def _segments(values: np.ndarray, gram: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """(starts, windows, anchor hashes, segment hashes, anchor offsets, first segment of each text)."""
+def _segments(values: np.ndarray, gram: np.ndarray, bounds: np.ndarray, width: int, k: int, extent: int) -> tuple[np.ndarray, ...]:
+    """(starts, windows, anchor hashes, segment hashes, anchor offsets, windows with room for ``extent`` items, first segment of each text)."""
     n = len(values)
     none = np.zeros(0, np.int64)
     p = tk.window_argmin(gram, width - k + 1)  # for windows 0 .. n - width
     if not len(p):
-        return none, none, none, none, none, np.zeros(len(bounds), np.int64)
+        return none, none, none, none, none, none, np.zeros(len(bounds), np.int64)
     step = np.zeros(n + 1, dtype=np.int32)
     np.add.at(step, bounds[:-1], 1)
     np.add.at(step, np.maximum(bounds[1:] - width + 1, bounds[:-1]), -1)
@@ -54,25 +54,34 @@ def _segments(values: np.ndarray, gram: np.ndarray, bounds: np.ndarray, width: i
     last[:-1] &= ~valid[1:] | (p[1:] != p[:-1])
     ends = np.flatnonzero(last) + 1
     at = p[starts]
-    content = tk.RangeHash(values).of(starts, ends - 1 + width)
-    return starts, ends - starts, gram[at], content, at - starts, np.searchsorted(starts, bounds)
+    first = np.searchsorted(starts, bounds)
+    text_end = np.repeat(bounds[1:], np.diff(first))
+    content = tk.RangeHash(values).of(starts, np.minimum(ends - 1 + extent, text_end))
+    wide = np.clip(text_end - extent - starts + 1, 0, ends - starts)
+    return starts, ends - starts, gram[at], content, at - starts, wide, first
 
 
-def word_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+def word_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int, extent: int) -> tuple[np.ndarray, ...]:
     """Segments over the words between white space, and each text's first word."""
     ws, we, bounds = tk.word_spans(data, offsets, tk.NOT_SPACE)
     h = tk.hash_words(data, ws, we)
-    return *_segments(h, tk.grams(h, k), bounds, width, k), bounds
+    return *_segments(h, tk.grams(h, k), bounds, width, k, extent), bounds
 
 
-def byte_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+def byte_segments(data: np.ndarray, offsets: np.ndarray, width: int, k: int, extent: int) -> tuple[np.ndarray, ...]:
     """Segments over bytes, and each text's first byte."""
-    return *_segments(_BYTE[data], tk.byte_grams(data, k), offsets, width, k), offsets
+    return *_segments(_BYTE[data], tk.byte_grams(data, k), offsets, width, k, extent), offsets
 
 
-def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 << 19) -> DataFrame:
-    """doc, rid and the segments of each text that has any."""
+def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 << 19, extent: int = 0) -> DataFrame:
+    """doc, rid and the segments of each text that has any.
+
+    extent: what is compared from a window's start on, where the text has it
+    (at least the window). A segment's content, and with it its hash, goes as
+    far; ``wide`` is the number of its windows that have it in full.
+    """
     ship(docs.sparkSession)
+    extent = max(extent, width)
     of = word_segments if unit == "words" else byte_segments
 
     @tk.tidy
@@ -81,15 +90,15 @@ def find(docs: DataFrame, width: int, k: int, unit: str, slice_bytes: int = 1 <<
             data, offsets = tk.text_buffer(batch.column(2))
             for a, b in tk.slices(offsets, slice_bytes):
                 part = data[offsets[a] : offsets[b]]
-                starts, wins, anchor, seg, at, first, base = of(part, offsets[a : b + 1] - offsets[a], width, k)
+                starts, wins, anchor, seg, at, wide, first, base = of(part, offsets[a : b + 1] - offsets[a], width, k, extent)
                 has = np.flatnonzero(np.diff(first))
                 if not len(has):
                     continue
                 # positions are counted from the text's first item
                 local = starts - np.repeat(base[:-1], np.diff(first))
                 bounds = np.append(first[has], first[-1])
-                fields = [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(local, pa.int32()), pa.array(wins, pa.int32()), pa.array(at, pa.int32())]
-                rows = pa.StructArray.from_arrays(fields, names=["anchor", "seg", "start", "wins", "at"])
+                fields = [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(local, pa.int32()), pa.array(wins, pa.int32()), pa.array(at, pa.int32()), pa.array(wide, pa.int32())]
+                rows = pa.StructArray.from_arrays(fields, names=["anchor", "seg", "start", "wins", "at", "wide"])
                 picked = batch.slice(a, b - a).take(pa.array(has))
                 out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
                 yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), out], names=["doc", "rid", "segments"])

@@ -37,7 +37,7 @@ SHARD_WORDS, BLOCK_WORDS = 400_000, 2_000_000
 def shared_segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """One row for every segment whose anchor occurs in at least two documents."""
     found = cut(anchors.find(docs.where("doc_id IS NOT NULL"), width, gram, "words"))
-    each = found.select("doc", "rid", F.inline("segments")).drop("at")
+    each = found.select("doc", "rid", F.inline("segments")).drop("at", "wide")
     common = apart(each, ["anchor"], F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     return cut(each.join(common, "anchor", "left_semi"))
 

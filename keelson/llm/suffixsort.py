@@ -13,10 +13,11 @@ A window with its anchor at offset o repeats if another segment agrees in
 width - o bytes from the anchor on and in o bytes before it: both are classes
 of neighbours in sorted order, forwards from the merge and backwards.
 
-``repeats`` can also tell what *another document* has, by the least and the
-greatest document of every class. ``dedup`` reports that for shorter strings,
-of ``SHARED`` bytes, beside what it removes: a passage of little more than 50
-words is often shorter than 400 bytes.
+Beside what is removed, shorter strings that *another document* has are
+reported: a passage of little more than 50 words is often shorter than 400
+bytes. Anchors and windows are those of the shorter strings; the suffixes go on
+to the length of the longer ones, so one sorted order decides both. The least
+and the greatest document of a class tell whether two documents have it.
 
 Defined results: a null text is empty; texts shorter than ``width`` bytes keep
 everything; equal rows are copies of each other, so both lose what they share;
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import anchors
 from . import textkernel as tk
 from .grouping import apart, block_units
-from .session import cut, release, ship
+from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
 #: What is reported as shared with another document: at least 51 words of five bytes, a space included.
@@ -131,12 +132,12 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes,
             node //= 2
 
 
-_RUN = "shard long, lcps array<int>, rests array<binary>, seg array<long>, copies array<long>, lo array<long>, hi array<long>, at array<int>, wins array<int>, back array<binary>"
+_RUN = "shard long, lcps array<int>, rests array<binary>, seg array<long>, copies array<long>, lo array<long>, hi array<long>, at array<int>, wins array<int>, wide array<int>, back array<binary>"
 
 
-def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run_bytes: int) -> DataFrame:
+def _make_runs(texts: DataFrame, wanted: DataFrame, extent: int, shards: int, run_bytes: int) -> DataFrame:
     """Sorted, front-coded runs of the wanted suffixes for every shard."""
-    per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "a", "b", "seg", "copies", "lo", "hi", "start", "wins", "at")).alias("wanted"))
+    per_text = wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("anchor", "a", "b", "seg", "copies", "lo", "hi", "start", "wins", "at", "wide")).alias("wanted"))
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort()
@@ -147,9 +148,9 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
                 b += 1
             part = held[a:b]
             lcps, rests = front_code([x[1] for x in part])
-            columns = [[part[0][0]], [lcps], [rests], *([[x[i] for x in part]] for i in range(2, 9))]
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-            names = ["shard", "lcps", "rests", "seg", "copies", "lo", "hi", "at", "wins", "back"]
+            columns = [[part[0][0]], [lcps], [rests], *([[x[i] for x in part]] for i in range(2, 10))]
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.int32())] * 3, pa.list_(pa.binary()))
+            names = ["shard", "lcps", "rests", "seg", "copies", "lo", "hi", "at", "wins", "wide", "back"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
             a = b
 
@@ -168,9 +169,9 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
                         continue
                     seen.add((head, x["seg"]))
                     middle = start + at
-                    tail = text[middle : start + x["wins"] - 1 + width]
+                    tail = text[middle : start + x["wins"] - 1 + extent]
                     shard = (anchor ^ x["a"] * 0x9E3779B1 ^ x["b"] * 0x85EBCA77) % shards
-                    held.append((shard, head + tail, x["seg"], x["copies"], x["lo"], x["hi"], at, x["wins"], text[start:middle][::-1]))
+                    held.append((shard, head + tail, x["seg"], x["copies"], x["lo"], x["hi"], at, x["wins"], x["wide"], text[start:middle][::-1]))
                     size += len(tail) + at + 100
                 if size > run_bytes:
                     yield from emit(held)
@@ -182,52 +183,55 @@ def _make_runs(texts: DataFrame, wanted: DataFrame, width: int, shards: int, run
     return joined.mapInArrow(run, _RUN)
 
 
-def repeated_windows(lcp: np.ndarray, unit: np.ndarray, back: list[bytes], at: np.ndarray, wins: np.ndarray, copies: np.ndarray, width: int, docs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Which windows of which segments repeat: a matrix, segments in sorted order.
+class Order:
+    """Segments of whole units in the sorted order of their suffixes, and in that of what lies before their anchors."""
+
+    def __init__(self, lcp: np.ndarray, unit: np.ndarray, back: list[bytes], at: np.ndarray, wins: np.ndarray):
+        """lcp: common prefix with the suffix before, 0 where a unit begins."""
+        m = len(lcp)
+        self.lcp, self.at, self.wins = lcp, at, wins
+        order = sorted(range(m), key=lambda i: (unit[i], back[i]))
+        self.reverse = np.zeros(m, dtype=np.int64)
+        for k in range(1, m):
+            i, j = order[k - 1], order[k]
+            if unit[i] == unit[j]:
+                self.reverse[k] = common_prefix(back[i], back[j], 0)
+        self.order = np.array(order, dtype=np.int64)
+        self.fresh = np.ones(m, dtype=bool)
+        self.fresh[1:] = unit[1:] != unit[:-1]
+        self.fresh_back = np.ones(m, dtype=bool)
+        self.fresh_back[1:] = unit[self.order][1:] != unit[self.order][:-1]
+
+    def repeated(self, width: int, wins: np.ndarray, alone: np.ndarray, several: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Which of the first ``wins`` windows of each segment repeat over ``width`` bytes: a matrix, segments in sorted order.
+
+        alone: segments whose windows all do. several(members, first member of
+        each class): the classes that count.
+        """
+        m = len(wins)
+        flags = np.zeros((m, int(self.wins.max(initial=0))), dtype=bool)
+        flags[alone] = True
+        for o in range(int((self.at - wins + 1).min(initial=0)), int(self.at.max(initial=-1)) + 1):
+            active = np.flatnonzero((self.at - wins < o) & (o <= self.at))
+            if len(active) < 2:
+                continue
+            ahead = np.cumsum(self.fresh | (self.lcp < width - o))
+            behind = np.empty(m, dtype=np.int64)
+            behind[self.order] = np.cumsum(self.fresh_back | (self.reverse < o))
+            key = ahead[active] * np.int64(m + 1) + behind[active]
+            by = np.argsort(key, kind="stable")
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = key[by][1:] != key[by][:-1]
+            begin = np.flatnonzero(new)
+            members = active[by]
+            i = members[np.repeat(several(members, begin), np.diff(np.append(begin, len(by))))]
+            flags[i, self.at[i] - o] = True
+        flags &= np.arange(flags.shape[1]) < wins[:, None]
+        return flags
 
-    lcp: common prefix with the suffix before, 0 where a unit begins. docs: the
-    least and the greatest document of each segment; then only windows that two
-    documents have count.
-    """
-    m = len(lcp)
-    flags = np.zeros((m, int(wins.max(initial=0))), dtype=bool)
-    flags[(copies > 1) if docs is None else docs[0] < docs[1]] = True
-    order = sorted(range(m), key=lambda i: (unit[i], back[i]))
-    reverse = np.zeros(m, dtype=np.int64)
-    for k in range(1, m):
-        i, j = order[k - 1], order[k]
-        if unit[i] == unit[j]:
-            reverse[k] = common_prefix(back[i], back[j], 0)
-    order = np.array(order, dtype=np.int64)
-    fresh = np.ones(m, dtype=bool)
-    fresh[1:] = unit[1:] != unit[:-1]
-    unit_back = unit[order]
-    fresh_back = np.ones(m, dtype=bool)
-    fresh_back[1:] = unit_back[1:] != unit_back[:-1]
-    for o in range(int((at - wins + 1).min(initial=0)), int(at.max(initial=-1)) + 1):
-        active = np.flatnonzero((at - wins < o) & (o <= at))
-        if len(active) < 2:
-            continue
-        ahead = np.cumsum(fresh | (lcp < width - o))
-        behind = np.empty(m, dtype=np.int64)
-        behind[order] = np.cumsum(fresh_back | (reverse < o))
-        key = ahead[active] * np.int64(m + 1) + behind[active]
-        by = np.argsort(key, kind="stable")
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = key[by][1:] != key[by][:-1]
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(by)))
-        if docs is None:
-            several = size > 1
-        else:
-            several = np.minimum.reduceat(docs[0][active[by]], begin) < np.maximum.reduceat(docs[1][active[by]], begin)
-        i = active[by[np.repeat(several, size)]]
-        flags[i, at[i] - o] = True
-    return flags
-
-
-def _merge_shards(width: int, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ("seg", "copies", "lo", "hi", "at", "wins", "back")
+
+def _merge_shards(width: int, shared: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ("seg", "copies", "lo", "hi", "at", "wins", "wide", "back")
 
     def resolve(runs: list[dict]) -> Iterator[pa.RecordBatch]:
         merged = merge_runs([decode_run(r["lcps"], r["rests"]) for r in runs])
@@ -255,16 +259,21 @@ def _merge_shards(width: int, across: bool) -> Callable[[Iterator[pa.RecordBatch
         new = np.ones(len(raw), dtype=bool)
         new[1:] = (raw[1:] != raw[:-1]).any(axis=1)
         unit = np.cumsum(new)
-        lcp, at, wins, copies, lo, hi = (np.array(x, dtype=np.int64) for x in (lcps, *(fields[n] for n in ("at", "wins", "copies", "lo", "hi"))))
+        lcp, at, wins, wide, copies, lo, hi = (np.array(x, dtype=np.int64) for x in (lcps, *(fields[n] for n in ("at", "wins", "wide", "copies", "lo", "hi"))))
         lcp[new] = 0
-        flags = repeated_windows(lcp, unit, fields["back"], at, wins, copies, width, (lo, hi) if across else None)
-        flags &= np.arange(flags.shape[1]) < wins[:, None]
-        edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        i, off = np.nonzero(edge == 1)
-        _, stop = np.nonzero(edge == -1)
+        order = Order(lcp, unit, fields["back"], at, wins)
         anchor = raw[:, 0].astype(np.int64)
         seg = np.array(fields["seg"], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[i]), pa.array(seg[i]), pa.array(off, pa.int32()), pa.array(stop - off, pa.int32())], names=["anchor", "seg", "off", "many"])
+        found = (
+            order.repeated(shared, wins, lo < hi, lambda who, begin: np.minimum.reduceat(lo[who], begin) < np.maximum.reduceat(hi[who], begin)),
+            order.repeated(width, wide, copies > 1, lambda who, begin: np.diff(np.append(begin, len(who))) > 1),
+        )
+        for removed, flags in enumerate(found):
+            edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            i, off = np.nonzero(edge == 1)
+            _, stop = np.nonzero(edge == -1)
+            columns = [pa.array(anchor[i]), pa.array(seg[i]), pa.array(off, pa.int32()), pa.array(stop - off, pa.int32()), pa.array(np.full(len(i), bool(removed)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "off", "many", "removed"])
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,27 +292,28 @@ def _merge_shards(width: int, across: bool) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES, across: bool = False) -> DataFrame:
-    """doc, rid and ``spans`` (first byte, end) of what repeated strings cover; texts without any are absent.
-
-    across: only strings that another document, by doc_id, has too.
+def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shared: int = SHARED, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """doc, rid, ``spans`` (first byte, end) of what repeated strings of ``width`` bytes cover, and ``shared``, the
+    same of strings of ``shared`` bytes, no more than ``width``, that another document has; texts with neither are absent.
     """
     ship(docs.sparkSession)
-    found = cut(anchors.find(docs, width, gram, "bytes"))
+    found = cut(anchors.find(docs, shared, gram, "bytes", extent=width))
     every = found.select("doc", "rid", F.inline("segments"))
-    often = F.min("doc") < F.max("doc") if across else F.count("*") > 1
-    common = apart(every, ["anchor"], often.alias("often")).where("often").select("anchor")
+    common = apart(every, ["anchor"], F.count("*").alias("n")).where("n > 1").select("anchor")
     each = cut(every.join(common, "anchor", "left_semi"))
-    distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "rid", "start", "wins", "at")).alias("one"))
+    one = F.min(F.struct("doc", "rid", "start", "wins", "at", "wide")).alias("one")
+    distinct = each.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), one)
     cost = F.col("wins") + F.lit(width - 1)
     wanted = cut(block_units(distinct.select("anchor", "seg", "copies", "lo", "hi", "one.*"), ["anchor"], F.col("seg"), cost, block_bytes).select("*", "unit.a", "unit.b").drop("unit"))
     total = wanted.agg(F.sum(cost)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     runs = _make_runs(anchors.texts(docs), wanted, width, shards, run_bytes)
-    windows = runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(width, across), "anchor long, seg long, off int, many int")
+    windows = runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards(width, shared), "anchor long, seg long, off int, many int, removed boolean")
     first = F.col("start") + F.col("off")
-    hit = each.join(windows, ["anchor", "seg"])
-    return hit.select("doc", "rid", F.struct(first.alias("first"), (first + F.col("many") + F.lit(width - 1)).cast("int").alias("stop")).alias("span")).groupBy("doc", "rid").agg(F.collect_list("span").alias("spans"))
+    hit = each.drop("wins", "at", "wide").join(windows, ["anchor", "seg"])
+    size = F.when(F.col("removed"), F.lit(width)).otherwise(F.lit(shared))
+    span = F.struct(first.alias("first"), (first + F.col("many") + size - 1).cast("int").alias("stop"))
+    return hit.select("doc", "rid", "removed", span.alias("span")).groupBy("doc", "rid").agg(F.collect_list(F.when(F.col("removed"), F.col("span"))).alias("spans"), F.collect_list(F.when(~F.col("removed"), F.col("span"))).alias("shared"))
 
 
 def _covered(spans: pa.ListArray, first: np.ndarray) -> np.ndarray:
@@ -322,9 +332,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: boo
     n_shared: bytes, before any are removed, in strings of ``shared`` bytes that
     another document has.
     """
-    near = cut(repeats(docs, shared, gram, across=True, **sizes).withColumnRenamed("spans", "shared"))
-    release(docs.sparkSession)
-    joined = anchors.texts(docs).join(repeats(docs, width, gram, **sizes), ["doc", "rid"], "left").join(near, ["doc", "rid"], "left").select("doc_id", "text", "spans", "shared")
+    joined = anchors.texts(docs).join(repeats(docs, width, gram, shared, **sizes), ["doc", "rid"], "left").select("doc_id", "text", "spans", "shared")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * with_bytes
 
     @tk.tidy
