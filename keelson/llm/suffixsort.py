@@ -40,8 +40,8 @@ from .grouping import apart, block_units
 from .session import cut, ship
 
 WIDTH, GRAM = 400, 32
-#: What is reported as shared with another document: at least 51 words of five bytes, a space included.
-SHARED = 256
+#: What is reported as shared with another document: 50 words of six bytes, a space included.
+SHARED = 300
 SHARD_BYTES, RUN_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20, 8 << 20
 _HEAD = 16  # bytes of a sort key before the suffix: anchor and work unit
 
