@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Page
 from ..plans.request import Eq, In, Request
+from ..plans.shared import lookup, materialised
 from .catalog import Catalog, Dataset
 
 LOG = "telemetry/queries"
@@ -117,9 +118,40 @@ class Timing:
     hits: int
 
 
+def rank(n: int, q: float) -> int:
+    """The place of a percentile among n sorted values: (n - 1) * q, rounded up."""
+    return math.ceil((n - 1) * q)
+
+
 def at_rank(taken: list[int], q: float) -> int:
-    """A percentile of sorted timings: the one at the rank (n - 1) * q, rounded up."""
-    return taken[math.ceil((len(taken) - 1) * q)]
+    """A percentile of sorted timings."""
+    return taken[rank(len(taken), q)]
+
+
+def percentiles(values: DataFrame, quantiles: list[float]) -> list:
+    """``at_rank`` of a column of any length; nulls come last, and of no rows every percentile is None.
+
+    A count per distinct value, range-partitioned by value, so repeated values
+    can't fill a task. The driver gets a sum per partition and then the values
+    at the ranks; running sums are made in the partitions that hold a rank.
+    """
+    value = F.col(f"`{values.columns[0]}`").alias("v")
+    per = materialised(values.select(value).groupBy("v").agg(F.count("*").alias("c")).orderBy(F.col("v").asc_nulls_last()))
+    parted = per.withColumn("_part", F.spark_partition_id())
+    sums = sorted((r["_part"], r["n"]) for r in parted.groupBy("_part").agg(F.sum("c").alias("n")).collect())
+    n = sum(c for _, c in sums)
+    if not n:
+        return [None] * len(quantiles)
+    wanted, before = [], 0
+    for part, c in sums:
+        wanted += [(part, r, r - before) for r in {rank(n, q) for q in quantiles} if before <= r < before + c]
+        before += c
+    order = Window.partitionBy("_part").orderBy(F.col("v").asc_nulls_last())
+    upto = parted.where(F.col("_part").isin(sorted({w[0] for w in wanted}))).withColumn("_upto", F.sum("c").over(order))
+    at = lookup(values.sparkSession, wanted, "_part int, _rank bigint, _at bigint")
+    hit = (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("c"))
+    found = {r["_rank"]: r["v"] for r in upto.join(at, "_part").where(hit).select("_rank", "v").collect()}
+    return [found[rank(n, q)] for q in quantiles]
 
 
 def benchmark(dataset: Dataset, request: Request, iterations: int = 10, warmups: int = 2) -> Timing:

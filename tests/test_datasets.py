@@ -13,6 +13,7 @@ from keelson.operators import digests, indexes, mutation, telemetry
 from keelson.operators.buckets import Buckets
 from keelson.operators.catalog import Catalog
 from keelson.operators.mutation import Delete, Insert, Update
+from keelson.plans import catalogue, lifecycle  # noqa: F401
 from keelson.plans.request import Eq, In, Range, Request
 from keelson.schema import ROW_ID, Column, Schema
 from keelson.sources import attached, export, imports, rows
@@ -418,6 +419,20 @@ def test_telemetry(contacts):
     assert tuple(empty) == (0, 0, 0, 0)
 
 
+def test_percentiles_stay_distributed(spark, data, monkeypatch):
+    quantiles = [0.0, 0.3, 0.5, 0.5, 0.99, 1.0]
+    for taken in ([7], [3, 1, 2] * 40 + [9], list(range(101)), [5] * 50 + [-4]):
+        values = spark.createDataFrame([(v,) for v in taken], "`a.b` bigint").repartition(3)
+        assert telemetry.percentiles(values, quantiles) == [telemetry.at_rank(sorted(taken), q) for q in quantiles]
+    assert telemetry.percentiles(spark.createDataFrame([(None,), (4,), (None,)], "v bigint"), [0.0, 0.4, 1.0]) == [4, None, None]
+    assert telemetry.percentiles(spark.createDataFrame([], "v bigint"), [0.0, 1.0]) == [None, None]
+    frame, most = type(spark.range(1)), []
+    whole = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (most.append(len(rows := whole(self))), rows)[1])
+    assert len(catalogue.QUERIES["benchmark_percentiles"](spark, data).collect()) == 5
+    assert max(most) < 100  # of 1,500 orders
+
+
 def test_export(contacts, tmp_path):
     mutation.apply(contacts, [Update(2, {"note": 'a "q", b'}), Delete(0)])
     d = contacts.dataset()
