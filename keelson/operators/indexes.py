@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from ..errors import ConflictError, NotFound
 from ..plans.request import Request, prepare, route
+from ..plans.shared import BROADCAST_ROWS, materialised
 from ..schema import ROW_ID, Schema
 from ..sources.imports import check_accelerator
 from . import versioned
 from .catalog import Catalog, Dataset, Manifest, Staging
 
+#: Bytes of a dictionary's values up to which it is broadcast, and the share of all rows above which a value of a larger one is.
+BROADCAST_BYTES, HOT_SHARE = 8 << 20, 1000
+
 
 def add(catalog: Catalog, columns: list[str]) -> int:
     """A new generation that also has this accelerator: a copy of the base layer clustered by its columns."""
@@ -93,17 +97,39 @@ def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, token): dense tokens of the distinct values in byte order; null, if there is one, comes first."""
-    from ..plans.shared import materialised
     from .versioned import dense_ids
 
-    values = materialised(df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()))
+    c = F.col(f"`{column}`")
+    values = materialised(df.select(c).distinct().orderBy(c.asc_nulls_first()))
     return dense_ids(values, 0, "token")
 
 
+def encoded(df: DataFrame, column: str) -> DataFrame:
+    """Every row, null or not, with its value's ``token`` in the column's dictionary.
+
+    A dictionary within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` goes to the
+    rows, which stay where they are. In a larger one that holds for the values
+    with more than one row in ``HOT_SHARE``; the rest is dealt by value, where
+    no value can fill a task.
+    """
+    c = F.col(f"`{column}`")
+    tokens = dictionary(df, column)
+    wide = F.octet_length(c.cast("string"))
+    r = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(wide), F.lit(0)).alias("bytes")).first()
+    tokens = tokens.withColumnRenamed(column, "_value")
+    joined = lambda rows, some: rows.join(some, c.eqNullSafe(F.col("_value"))).drop("_value")
+    if r["n"] <= BROADCAST_ROWS and r["bytes"] <= BROADCAST_BYTES:
+        return joined(df, F.broadcast(tokens))
+    least = df.count() // HOT_SHARE
+    hot = F.broadcast(materialised(df.groupBy(c.alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select("_hot")))
+    often = joined(df, F.broadcast(tokens.join(hot, F.col("_value").eqNullSafe(F.col("_hot")), "left_semi")))
+    return often.unionByName(joined(df.join(hot, c.eqNullSafe(F.col("_hot")), "left_anti"), tokens))
+
+
 def token_matches(df: DataFrame, column: str, token: int) -> DataFrame:
-    """The rows whose value has this token in the column's dictionary."""
+    """The rows whose value has this token in the column's dictionary; the one value goes to the rows."""
     wanted = dictionary(df, column).where(F.col("token") == token).select(column)
-    return df.where(F.col(column).isNotNull()).join(wanted, column, "left_semi")
+    return df.where(F.col(column).isNotNull()).join(F.broadcast(wanted), column, "left_semi")
 
 
 def bitmap_hits(df: DataFrame, predicates: list, row_id: str = ROW_ID) -> DataFrame:

@@ -225,8 +225,7 @@ def distinct_keys(spark, sf_dir):
 def dictionary_encode(spark, sf_dir):
     """Dense tokens of a column's distinct values in byte order, joined back to every row."""
     orders, _ = view(spark, sf_dir, "orders")
-    tokens = indexes.dictionary(orders, "o_orderpriority")
-    return orders.join(tokens, "o_orderpriority").groupBy("o_orderpriority", "token").agg(F.count("*").alias("n"))
+    return indexes.encoded(orders, "o_orderpriority").groupBy("o_orderpriority", "token").agg(F.count("*").alias("n"))
 
 
 @register("SELECT count(*) AS hits FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 500")

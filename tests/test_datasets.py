@@ -433,6 +433,22 @@ def test_percentiles_stay_distributed(spark, data, monkeypatch):
     assert max(most) < 100  # of 1,500 orders
 
 
+def test_dictionary_goes_to_the_rows(spark, data, monkeypatch):
+    for name in ("dictionary_encode", "filter_token"):
+        plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    values = ["b"] * 30 + [None] * 20 + list("xyzuvw") * 2 + ["a"]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, `v.1` string")
+    token = {v: i for i, v in enumerate([None, *sorted({v for v in values if v})])}
+    want = [(i, v, token[v]) for i, v in enumerate(values)]
+    plain = indexes.encoded(df, "v.1")
+    assert sorted((tuple(r) for r in plain.collect()), key=lambda r: r[0]) == want
+    monkeypatch.setattr(indexes, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(indexes, "HOT_SHARE", 5)
+    dealt = indexes.encoded(df, "v.1")
+    assert dealt.columns == plain.columns and sorted((tuple(r) for r in dealt.collect()), key=lambda r: r[0]) == want
+
+
 def test_export(contacts, tmp_path):
     mutation.apply(contacts, [Update(2, {"note": 'a "q", b'}), Delete(0)])
     d = contacts.dataset()
