@@ -76,8 +76,8 @@ def copied(staging: Staging, m: Manifest, columns: list[str]) -> dict[str, dict[
 def listing(dataset: Dataset) -> list[dict]:
     """Every column's own access path, then the accelerators with the number of layers that have a clustered copy."""
     single = [{"columns": [c], "kind": "parquet-statistics"} for c in dataset.schema.names]
-    copies = dataset.manifest.copies
-    return single + [{"columns": a, "kind": "clustered-copy", "layers": len(copies.get("+".join(a), {}))} for a in dataset.manifest.accelerators]
+    m = dataset.manifest
+    return single + [{"columns": a, "kind": "clustered-copy", "layers": sum(x.path in m.copies.get("+".join(a), {}) for x in m.layers)} for a in m.accelerators]
 
 
 def representation(rows: int, cardinality: int) -> str:
@@ -160,7 +160,9 @@ def cardinalities(df: DataFrame, schema: Schema) -> DataFrame:
 def stats(catalog: Catalog) -> dict:
     """Column cardinalities of the base layer, and sizes."""
     m = catalog.manifest()
-    base = catalog.spark.read.parquet(catalog.store.at(m.layers[0].path))
+    number, base = catalog.layers(m)[0]
+    if number is None:
+        base = base.where(F.col(versioned.LAYER) == m.layers[0].number)
     found = {r["column"]: r["cardinality"] for r in cardinalities(base, Schema.from_json(m.layers[0].schema)).collect()}
     return catalog.status() | {"base_rows": m.layers[0].rows, "cardinalities": found}
 
@@ -192,8 +194,7 @@ def explain(dataset: Dataset, request: Request) -> dict:
     copies = m.copies.get(accelerator, {})
     counted = {}
     if equal:
-        layers = [(x.number, catalog.spark.read.parquet(catalog.store.at(copies.get(x.path, x.path)))) for x in m.layers]
-        rows = versioned.layered(layers, dataset.schema).where(reduce(Column.__or__, [p.predicate() for p in equal]))
+        rows = versioned.layered(catalog.layers(m, accelerator), dataset.schema).where(reduce(Column.__or__, [p.predicate() for p in equal]))
         each = [F.count_if(p.predicate()).alias(f"n{i}") for i, p in enumerate(equal)]
         both = F.count_if(reduce(Column.__and__, [p.predicate() for p in equal])).alias("candidates")
         counted = {r[versioned.LAYER]: r for r in rows.groupBy(versioned.LAYER).agg(both, *each).collect()}

@@ -12,11 +12,11 @@ LAYER, TARGET, DELETED = "_layer", "_target", -1
 VISIBILITY_SCHEMA = f"{ROW_ID} bigint, {TARGET} int"
 
 
-def layered(layers: list[tuple[int, DataFrame]], schema: Schema | None = None) -> DataFrame:
-    """All layers by name, each row tagged with its layer; absent columns are null."""
+def layered(layers: list[tuple[int | None, DataFrame]], schema: Schema | None = None) -> DataFrame:
+    """All layers by name, each row tagged with its layer; absent columns are null. A frame of many layers, with None for a number, has the tags."""
     out = None
     for number, df in layers:
-        tagged = df.withColumn(LAYER, F.lit(number))
+        tagged = df if number is None else df.withColumn(LAYER, F.lit(number))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     if schema is not None:
         out = out.select(ROW_ID, *[F.col(f"`{c.name}`").cast(c.spark_type).alias(c.name) for c in schema.columns], LAYER)

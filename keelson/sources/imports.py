@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConflictError, InvalidData, NotFound
 from ..operators.catalog import Catalog, Layer, Manifest, Staging
+from ..operators.versioned import LAYER
 from ..schema import ROW_ID, Schema, union
 from . import rows as R
 
@@ -78,14 +79,14 @@ def import_segmented(catalog: Catalog, path: str, schema: Schema, rows_per_part:
             rows_per_part = max(1, min(rows_per_part, n * bytes_per_part // max(1, source_bytes(catalog, path))))
         first = base.max_row_id + 1 if append else 0
         ids = R.positioned(R.stored(raw, schema, True), first, ROW_ID)
-        whole = f"data/{hashlib.sha256(repr((path, n, first, catalog.generations())).encode()).hexdigest()[:32]}"
-        staging.written.append(whole)
-        part = F.floor((F.col(ROW_ID) - F.lit(first)) / F.lit(rows_per_part)).cast("int")
-        ids.withColumn("part", part).repartition("part").sortWithinPartitions("part", ROW_ID).write.partitionBy("part").parquet(catalog.store.at(whole))
-        known = json.loads(schema.to_json())
         start = max(x.number for x in base.layers) + 1 if append else 0
         parts = -(-n // rows_per_part)
-        new = [Layer(start + k, f"{whole}/part={k}", min(rows_per_part, n - k * rows_per_part), known) for k in range(parts)]
+        if parts > 1:  # one folder for all: files, plans and jobs follow the rows, not the parts
+            number = F.expr(f"CAST((`{ROW_ID}` - {first}L) DIV {rows_per_part}L + {start} AS INT)")
+            ids = ids.withColumn(LAYER, number)
+        whole = staging.write(ids)
+        known = json.loads(schema.to_json())
+        new = [Layer(start + k, whole, min(rows_per_part, n - k * rows_per_part), known) for k in range(parts)]
         if append:
             merged = _merged(base, schema)
             staging.publish(_grown(base, merged, new, n, f"append:{path}"))

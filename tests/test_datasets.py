@@ -306,6 +306,42 @@ def test_segments(catalog, tmp_path):
     assert sum(rows) == 5 and max(rows) <= 2
 
 
+def test_many_segments_are_one_scan(catalog, tmp_path):
+    schema = Schema((Column("part"), Column("visits", "unsigned")))
+    path = write(tmp_path / "a.csv", "part,visits\n" + "".join(f"e{i % 3},{i}\n" for i in range(9)))
+    imports.import_segmented(catalog, path, schema, rows_per_part=2)
+    imports.import_segmented(catalog, path, schema, rows_per_part=1, append=True)
+    m = catalog.manifest()
+    assert [(x.number, x.rows) for x in m.layers] == [*((i, 2) for i in range(4)), (4, 1), *((i, 1) for i in range(5, 14))] and len(m.paths) == 2
+    plan = catalog.dataset().frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # of 14 layers
+    want = [(i, f"e{i % 9 % 3}", str(i % 9)) for i in range(18)]
+    assert table(catalog) == want
+    per = {r[0]: r[1] for _, df in catalog.layers(m) for r in df.groupBy("_layer").agg(F.min(ROW_ID)).collect()}
+    assert per == {i: 2 * i for i in range(5)} | {i: i + 4 for i in range(5, 14)}
+    indexes.add(catalog, ["part", "visits"])
+    assert indexes.stats(catalog)["base_rows"] == 2 and indexes.stats(catalog)["cardinalities"] == {"part": 2, "visits": 2}
+    found = indexes.explain(catalog.dataset(), Request(filters=(Eq("part", "e1"), Eq("visits", "4"))))["layers"]
+    assert [x["layer"] for x in found if x["candidates"]] == [2, 9] and found[4]["indexes"] == ["part+visits"] and found[5]["indexes"] == ["part", "visits"]
+    mutation.apply(catalog, [Update(3, {"visits": "70"}), Delete(10)])
+    want = [(i, p, "70" if i == 3 else v) for i, p, v in want if i != 10]
+    assert table(catalog) == want
+    catalog.vacuum(retain=0)
+    again = Catalog(catalog.spark, str(tmp_path / "again"))
+    catalog.backup(str(tmp_path / "copy"))
+    again.restore(str(tmp_path / "copy"))
+    assert table(catalog) == table(again) == want and again.verify()["visible_rows"] == 17
+    first = again.manifest()
+    first.layers[0].rows, first.layers[1].rows = 1, 3
+    with pytest.raises(InvalidData):
+        again._verify_layers(first)
+    first.layers = first.layers[2:]
+    with pytest.raises(InvalidData):
+        again._verify_layers(first)
+    mutation.compact(again)
+    assert table(again) == want
+
+
 def test_many_files_keep_order(spark, catalog, tmp_path):
     os.mkdir(tmp_path / "in")
     for k, n in enumerate((1, 300, 20)):
